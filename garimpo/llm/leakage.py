@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.llm.words import WordHasher, run_hashes, word_pattern
+from garimpo.llm.words import Words, chunks, run_hashes, words_of
 from garimpo.plans.materialize import materialize, spread
 
 
@@ -41,11 +41,14 @@ def _marks() -> re.Pattern:
     return re.compile(f"[{''.join(ranges)}]+")
 
 
+def without_accents(text: str) -> str:
+    """The text decomposed, with combining marks dropped."""
+    return text if text.isascii() else _marks().sub("", unicodedata.normalize("NFD", text))
+
+
 def plain_words(text: str) -> list[str]:
-    """Lower-case words without accents: decomposed, combining marks dropped."""
-    if not text.isascii():
-        text = _marks().sub("", unicodedata.normalize("NFD", text))
-    return word_pattern().findall(text.lower())
+    """Lower-case words without accents."""
+    return words_of(without_accents(text))
 
 
 def window_minima(h: np.ndarray, run: int, k: int) -> np.ndarray:
@@ -64,12 +67,11 @@ def item_windows(items: DataFrame, run: int = 12, k: int = 5) -> DataFrame:
     """(minhash, words, item_id, size_class) of each distinct window of each item; a written table."""
 
     def cut(batches):
-        hasher = WordHasher()
         for b in batches:
             rows = set()
             for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = plain_words(t or "")
-                for i, m in enumerate(window_minima(hasher(w), run, k).view(np.int64).tolist()):
+                for i, m in enumerate(window_minima(Words([" ".join(w)]).hashes, run, k).view(np.int64).tolist()):
                     rows.add((m, " ".join(w[i : i + run]), item, (len(w) - k + 1).bit_length()))
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int32()))], ["minhash", "words", "item_id", "size_class"])
@@ -89,32 +91,25 @@ def leaked_windows(docs: DataFrame, index: DataFrame, run: int = 12, k: int = 5,
         sent = docs.sparkSession.sparkContext.broadcast(np.sort(minima.toPandas()["minhash"].to_numpy(np.int64).view(np.uint64)))
 
     def cut(batches):
-        hasher = WordHasher()
+        known = None if sent is None else sent.value
         for b in batches:
             at, low, words = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                if not t:
-                    continue
-                w = plain_words(t)
-                m = window_minima(hasher(w), run, k)
+            for first, part in chunks(b.column(1).to_pylist()):
+                w = Words([without_accents(t) if t else "" for t in part])
+                m = window_minima(w.hashes, run, k)
                 if not len(m):
                     continue
-                if sent is None:
-                    hit = np.arange(len(m))
-                elif len(sent.value):
-                    known = sent.value
+                owner = np.searchsorted(w.bounds, np.arange(len(m)), side="right") - 1
+                hit = w.bounds[owner + 1] - np.arange(len(m)) >= run  # the window lies within one text
+                if known is not None:
                     # neighbouring windows mostly share their minimum: look up each only once
                     new = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
                     u = m[new]
-                    ok = known[np.minimum(np.searchsorted(known, u), len(known) - 1)] == u
-                    if not ok.any():
-                        continue
-                    hit = np.flatnonzero(np.repeat(ok, np.diff(np.r_[new, len(m)])))
-                else:
-                    continue
-                for p in hit.tolist():
-                    at.append(i)
-                    words.append(" ".join(w[p : p + run]))
+                    ok = known[np.minimum(np.searchsorted(known, u), len(known) - 1)] == u if len(known) else np.zeros(len(u), bool)
+                    hit &= np.repeat(ok, np.diff(np.r_[new, len(m)]))
+                for p in np.flatnonzero(hit).tolist():
+                    at.append(first + int(owner[p]))
+                    words.append(" ".join(w.word(i) for i in range(p, p + run)))
                 low.append(m[hit].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at, pa.int64())), pa.array(np.concatenate(low) if low else np.empty(0, np.int64)), pa.array(words, pa.string())], ["doc_id", "minhash", "words"]

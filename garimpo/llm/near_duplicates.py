@@ -26,19 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.llm.words import WordHasher, effective_text, run_hashes, words_of
+from garimpo.llm.words import Words, chunks, effective_text, run_hashes
 from garimpo.plans.materialize import materialize, spread
 
 SKETCH_BITS = 18
 LOW56 = np.uint64((1 << 56) - 1)
 
 
-def _sets(texts: list, hasher: WordHasher, run: int, min_words: int) -> Iterator[tuple[int, np.ndarray]]:
-    for i, t in enumerate(texts):
-        if t:
-            w = words_of(t)
-            if len(w) >= min_words:
-                yield i, np.unique(run_hashes(hasher(w), run))
+def _sets(texts: list, run: int, min_words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, sorted distinct hashes of the runs) of each text of at least ``min_words`` words."""
+    for at, part in chunks(texts):
+        w = Words(part)
+        runs = run_hashes(w.hashes, run)
+        for i in np.flatnonzero(np.diff(w.bounds) >= max(min_words, run)):
+            yield at + int(i), np.unique(runs[w.bounds[i] : w.bounds[i + 1] - run + 1])
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -52,9 +53,9 @@ def _run_counts(docs: DataFrame, run: int, min_words: int) -> np.ndarray:
     """
 
     def count(batches):
-        hasher, n = WordHasher(), np.zeros(1 << SKETCH_BITS, np.int64)
+        n = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            got = [s for _, s in _sets(b.column(0).to_pylist(), hasher, run, min_words)]
+            got = [s for _, s in _sets(b.column(0).to_pylist(), run, min_words)]
             if got:
                 n += np.bincount(_bucket(np.concatenate(got)), minlength=len(n))
         k = np.flatnonzero(n)
@@ -86,10 +87,9 @@ def signatures(docs: DataFrame, run: int = 5, min_words: int = 30, threshold: fl
     levels = docs.sparkSession.sparkContext.broadcast(_levels(_run_counts(docs, run, min_words)))
 
     def sign(batches):
-        hasher = WordHasher()
         for b in batches:
             seqs, keys, sizes, pref, at = b.column(0), [], [], [], []
-            for i, s in _sets(b.column(1).to_pylist(), hasher, run, min_words):
+            for i, s in _sets(b.column(1).to_pylist(), run, min_words):
                 o = _ordered(s, levels.value)
                 at.append(i)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -238,10 +238,9 @@ def class_links(docs: DataFrame, sigs: DataFrame, run: int = 5, min_words: int =
     wanted = routed.select("lead", "salt", F.explode(F.array("a", "b", "lead")).alias("id")).distinct()
 
     def runs(batches):
-        hasher = WordHasher()
         for b in batches:
             at, out = [], []
-            for i, s in _sets(b.column(1).to_pylist(), hasher, run, min_words):
+            for i, s in _sets(b.column(1).to_pylist(), run, min_words):
                 at.append(i)
                 out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.binary())], ["id", "runs"])
