@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garimpo.llm import leakage, near_duplicates, token_budget
+from garimpo.llm import languages, leakage, near_duplicates, structure, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,26 @@ def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.not_prose(_t(spark, folder, "raw_docs"))
+
+
+def p1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.quality(_t(spark, folder, "raw_docs"))
+
+
+def p1_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.quality_by_source(_t(spark, folder, "raw_docs"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.mislabelled(_t(spark, folder, "raw_docs"))
+
+
+def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.record_languages(_t(spark, folder, "raw_docs"))
+
+
 def p3_token_totals(spark: SparkSession, folder: str) -> DataFrame:
     return token_budget.token_totals(_t(spark, folder, "raw_docs"), _t(spark, folder, "merges"), _t(spark, folder, "mix_targets"))
 
@@ -39,5 +59,5 @@ def p5_items(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, folder, "documents"), _t(spark, folder, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_token_totals, p3_record_tokens, p4_found, p4_groups, p5_found, p5_items)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_quality, p1_by_source, p2_found, p2_languages, p3_token_totals, p3_record_tokens, p4_found, p4_groups, p5_found, p5_items)}
 ORACLE_SQL: dict[str, str] = {}
