@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garimpo.llm import languages, leakage, near_duplicates, structure, token_budget
+from garimpo.llm import languages, leakage, mixing, near_duplicates, structure, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,5 +59,14 @@ def p5_items(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, folder, "documents"), _t(spark, folder, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_quality, p1_by_source, p2_found, p2_languages, p3_token_totals, p3_record_tokens, p4_found, p4_groups, p5_found, p5_items)}
+
+def p6_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_t(spark, folder, "documents"), _t(spark, folder, "mix_targets"))
+
+
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(_t(spark, folder, "documents"), _t(spark, folder, "mix_targets"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_quality, p1_by_source, p2_found, p2_languages, p3_token_totals, p3_record_tokens, p4_found, p4_groups, p5_found, p5_items, p6_mix, p6_shares)}
 ORACLE_SQL: dict[str, str] = {}
