@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garimpo.llm import languages, leakage, mixing, near_duplicates, structure, token_budget
+from garimpo.llm import languages, leakage, mixing, near_duplicates, personal_data, structure, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,5 +68,13 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(_t(spark, folder, "documents"), _t(spark, folder, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_quality, p1_by_source, p2_found, p2_languages, p3_token_totals, p3_record_tokens, p4_found, p4_groups, p5_found, p5_items, p6_mix, p6_shares)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.found(_t(spark, folder, "documents"))
+
+
+def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.redacted(_t(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_quality, p1_by_source, p2_found, p2_languages, p3_token_totals, p3_record_tokens, p4_found, p4_groups, p5_found, p5_items, p6_mix, p6_shares, p7_found, p7_redacted)}
 ORACLE_SQL: dict[str, str] = {}
