@@ -2,7 +2,7 @@
 
 A word is the mean of the embeddings of its hashed subwords (character n-grams and the whole word), a text the mean of
 its words, and a linear softmax on top gives the language. Embeddings and softmax are trained together by stochastic
-gradient descent in numpy, on a bounded sample of lines (``sample_rows`` records, the ones with the lowest hash) that
+gradient descent in numpy, on a bounded sample of lines (``sample_rows`` records, chosen by hash) that
 their function words label beyond doubt. A held-out tenth of those lines calibrates the softmax by a temperature
 and sets the confidence below which a text is rejected (language ``und``): the lowest at which at most ``max_error`` of
 the accepted held-out lines are wrong, but at least ``MIN_CONFIDENCE``.
@@ -163,9 +163,15 @@ def train(texts: list[str], epochs: int = 4, rate: float = 0.5, batch: int = 128
 
 
 def fit(docs: DataFrame, sample_rows: int = 3000, **options) -> Model | None:
-    """Train on the ``sample_rows`` records of ``docs(seq, text)`` with the lowest hashes."""
-    rows = docs.filter(F.length("text") >= 40).select("text", F.xxhash64("seq").alias("h")).orderBy("h", "text").limit(sample_rows).collect()
-    return train([r[0] for r in rows], **options)
+    """Train on up to ``sample_rows`` records of ``docs(seq, text)``, those whose hashes are below a bound.
+
+    The bound follows from the number of records, so that about ``sample_rows`` rows in all come to the driver.
+    """
+    n = docs.count()
+    part = min(1.0, sample_rows / n) if n else 1.0
+    h = F.shiftrightunsigned(F.xxhash64("seq"), 11)  # 53 bits
+    rows = docs.withColumn("h", h).filter((F.col("h") <= int(part * (1 << 53))) & (F.length("text") >= 40)).select("h", "text").limit(2 * sample_rows).collect()
+    return train([t for _, t in sorted(map(tuple, rows))[:sample_rows]], **options)
 
 
 class Reader:
