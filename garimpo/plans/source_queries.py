@@ -1 +1,190 @@
-"""Queries."""
+"""Queries on sources, sinks, generators, mixing and sampling."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from garimpo.functions.text import text_fallback
+from garimpo.operators import mixing as M
+from garimpo.operators import quality as Q
+from garimpo.plans.materialize import shared_dir
+from garimpo.plans.packing_queries import _budget
+from garimpo.plans.pipeline import prepare
+from garimpo.plans.registry import query, table
+from garimpo.operators import packing as P
+from garimpo.sources import files, shards
+
+
+def _place(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _local(path):
+    return path.removeprefix("file://")
+
+
+@query("SELECT source, count(*)::BIGINT AS n FROM (SELECT coalesce(source, 'unknown') AS source FROM documents UNION ALL SELECT 'benchmark' FROM benchmark) GROUP BY source")
+def union_sources(spark, folder):
+    d = table(spark, folder, "documents").select("doc_id", "text", F.coalesce("source", F.lit("unknown")).alias("_source"))
+    u = M.union_sources({"documents": d, "benchmark": table(spark, folder, "benchmark").select("item_id", "text")})
+    return u.groupBy(F.col("_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'documents' AS name, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'raw_docs', count(*)::BIGINT FROM raw_docs")
+def source_registry(spark, folder):
+    u = M.union_sources({n: table(spark, folder, n).select(F.lit(n).alias("name")) for n in ("documents", "raw_docs")})
+    return u.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE source = 'pt_hq'")
+def scan_documents(spark, folder):
+    return table(spark, folder, "documents").filter("source = 'pt_hq'").select("doc_id", "n_chars")
+
+
+@query("SELECT md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def scan_jsonl_field(spark, folder):
+    """Written as compressed JSON lines and read back."""
+    path = _place(spark, "jsonl")
+    table(spark, folder, "documents").filter("text is not null").select("text").write.option("compression", "gzip").json(path)
+    return files.jsonl_field(spark, path).select(F.md5("text").alias("text_md5"))
+
+
+@query("SELECT count(*)::BIGINT AS n, true AS same_folder FROM documents WHERE text IS NOT NULL")
+def scan_with_file(spark, folder):
+    path = _place(spark, "jsonl")
+    table(spark, folder, "documents").filter("text is not null").select("text").write.json(path)
+    got = files.jsonl_field(spark, path)
+    return got.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.contains("file", F.lit(path.rsplit("/", 1)[1]))).alias("same_folder"))
+
+
+@query("SELECT shard_id, coalesce(regexp_full_match(sha256, '[0-9a-f]{64}'), false) AS pinned FROM shard_index")
+def sha_pinned(spark, folder):
+    return table(spark, folder, "shard_index").select("shard_id", F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)).alias("pinned"))
+
+
+@query("SELECT run, count(*)::BIGINT AS n, count(loss)::BIGINT AS n_loss FROM train_log GROUP BY run")
+def scan_metrics(spark, folder):
+    """Log lines written as JSON and read back under a fixed schema."""
+    path = _place(spark, "metrics")
+    table(spark, folder, "train_log").select("run", "line", "loss").write.json(path)
+    return files.metric_lines(spark, path, "run string, line bigint, loss double").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count("loss").alias("n_loss"))
+
+
+@query("SELECT shard_id, row_number() OVER (ORDER BY 'shard_' || lpad(shard_id::VARCHAR, 5, '0')) AS place FROM shard_index")
+def shard_order(spark, folder):
+    """One row a shard."""
+    s = table(spark, folder, "shard_index").select("shard_id", F.format_string("shard_%05d", "shard_id").alias("path"))
+    return s.select("shard_id", F.row_number().over(W.orderBy("path")).alias("place"))
+
+
+@query("SELECT shard_id, coalesce(dtype = 'uint32', false) AND n_tokens > 0 AS valid FROM shard_index")
+def sidecar_check(spark, folder):
+    return table(spark, folder, "shard_index").select("shard_id", (F.coalesce(F.col("dtype") == "uint32", F.lit(False)) & (F.col("n_tokens") > 0)).alias("valid"))
+
+
+@query()
+def shard_round_trip(spark, folder):
+    """Shards written in the binary format and read back."""
+    path = _local(_place(spark, "shards"))
+    t = P.shard_tokens(P.shard_parts(_budget(spark, folder), 4096), "ids", 1).withColumn("shard_id", F.col("shard_id").cast("int"))
+    shards.write_shards(t, path, 1, 1024)
+    got = shards.read_shards(spark, path, block="1024")
+    return got.groupBy(F.regexp_extract("path", r"shard_(\d+)", 1).cast("int").alias("shard_id")).agg(F.sum(F.size("tokens")).alias("n_tokens"), F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("id_sum"))
+
+
+_MOCK = "['a história', 'a ciência', 'a música', 'o direito', 'a saúde', 'o esporte', 'a economia', 'a arte']"
+
+
+@query(f"SELECT range AS id, 'Documento ' || range || ' sobre ' || {_MOCK}[(range % 8) + 1] || '.' AS text FROM range(1000)")
+def mock_sources(spark, folder):
+    topics = F.array(*(F.lit(t.strip(" '")) for t in _MOCK[1:-1].split(",")))
+    return spark.range(1000).select("id", F.concat(F.lit("Documento "), "id", F.lit(" sobre "), F.element_at(topics, (F.col("id") % 8 + 1).cast("int")), F.lit(".")).alias("text"))
+
+
+@query("SELECT range AS id, 'Quanto é ' || range || ' + ' || range * 3 || ' - ' || range % 7 || '?' AS prompt, (range * 4 - range % 7)::VARCHAR AS chosen, (range * 4 + range % 7)::VARCHAR AS rejected FROM range(500)")
+def preference_samples(spark, folder):
+    i = F.col("id")
+    return spark.range(500).select("id", F.concat(F.lit("Quanto é "), i, F.lit(" + "), i * 3, F.lit(" - "), i % 7, F.lit("?")).alias("prompt"), (i * 4 - i % 7).cast("string").alias("chosen"), (i * 4 + i % 7).cast("string").alias("rejected"))
+
+
+@query("WITH l AS (SELECT range AS doc, 8 + ('0x' || substr(md5(range::VARCHAR), 1, 6))::BIGINT % 593 AS n FROM range(200)) SELECT doc, n, list_sum(list_transform(generate_series(0, n - 2), lambda i: (doc * 7 + i * 3) % 99 + 2))::BIGINT + 1 AS id_sum FROM l")
+def synthetic_shard(spark, folder):
+    n = 8 + F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 6), 16, 10).cast("bigint") % 593
+    d = spark.range(200).select(F.col("id").alias("doc"), n.alias("n"))
+    ids = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 2), lambda i: (F.col("doc") * 7 + i * 3) % 99 + 2)
+    return d.select("doc", "n", (F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x) + 1).alias("id_sum"))
+
+
+@query("SELECT seq FROM (SELECT seq, trim(coalesce(nullif(text, ''), nullif(content, ''))) AS t FROM raw_docs) WHERE length(t) > 500")
+def pt_quality_stream(spark, folder):
+    t = text_fallback(F.col("text"), F.col("content"))
+    return table(spark, folder, "raw_docs").filter(F.length(F.trim(t)) > 500).select("seq")
+
+
+@query("SELECT vec_id FROM embeddings WHERE coalesce(label >= 3, true) AND len(embedding) = 64")
+def edu_quality_stream(spark, folder):
+    return table(spark, folder, "embeddings").filter(Q.score_filter(F.col("label").cast("string")) & (F.size("embedding") == 64)).select("vec_id")
+
+
+@query("SELECT event_id, event_type, ('0x' || md5(event_id::VARCHAR)[1:4])::BIGINT AS h FROM events WHERE user_id % 3 = 0")
+def prompt_response_pairs(spark, folder):
+    return table(spark, folder, "events").filter("user_id % 3 = 0").select("event_id", "event_type", F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 4), 16, 10).cast("bigint").alias("h"))
+
+
+SFT = "WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events)"
+
+
+@query(SFT + " SELECT a.user_id, a.turn, a.event_type || '>' || b.event_type AS pair FROM o a JOIN o b ON a.user_id = b.user_id AND b.turn = a.turn + 1")
+def sft_pairs(spark, folder):
+    """Each turn with the next one of its conversation, by an equi-join on (conversation, turn)."""
+    o = table(spark, folder, "events").select("user_id", "event_type", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("turn"))
+    a, b = o.withColumnRenamed("event_type", "p"), o.select("user_id", (F.col("turn") - 1).alias("turn"), F.col("event_type").alias("r"))
+    return a.join(b, ["user_id", "turn"]).select("user_id", "turn", F.concat("p", F.lit(">"), "r").alias("pair"))
+
+
+@query("SELECT source, 1.0 / count(*) OVER () AS weight FROM (SELECT DISTINCT source FROM mix_targets)")
+def uniform_weights(spark, folder):
+    names = [r[0] for r in table(spark, folder, "mix_targets").select("source").distinct().collect()]
+    return spark.createDataFrame(list(M.check_weights(names, None).items()), "source string, weight double")
+
+
+_W = {"pt_web": 0.65, "pt_hq": 0.1, "en_edu": 0.15, "code": 0.1}
+_CASE = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _W.items()) + " END"
+
+
+@query(f"SELECT doc_id, source, round(row_number() OVER (PARTITION BY source ORDER BY doc_id) / {_CASE}::DOUBLE, 6) AS pace FROM documents WHERE source IN ('pt_web', 'pt_hq', 'en_edu', 'code')")
+def weighted_mix(spark, folder):
+    return M.interleave(table(spark, folder, "documents").select("doc_id", "source"), "source", "doc_id", _W).select("doc_id", "source", F.round("pace", 6).alias("pace"))
+
+
+@query()
+def weighted_draws(spark, folder):
+    d = table(spark, folder, "documents").filter(F.col("source").isin(list(_W))).select("doc_id", "source")
+    return M.draw(d, "source", "doc_id", _W)
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 100")
+def reservoir(spark, folder):
+    return M.sample(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id", 100)
+
+
+@query("WITH r AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) AS k FROM documents WHERE n_chars > 0), o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r) SELECT doc_id, least(n, 20000 - off)::BIGINT AS n FROM o WHERE off < 20000")
+def sample_lengths(spark, folder):
+    """Lengths in pseudo-random order until their total is exact; the prefix sum runs over the candidates of a bounded sample."""
+    d = M.sample(table(spark, folder, "documents").filter("n_chars > 0").select("doc_id", F.col("n_chars").alias("n")), "doc_id", 20_000, "7")
+    w = W.orderBy(M.hash_order(F.col("doc_id"), "7"), "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    return d.withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("off < 20000").select("doc_id", F.least("n", 20_000 - F.col("off")).alias("n"))
+
+
+@query("SELECT shard_id, md5('42-0-8192:' || shard_id) AS rank_key FROM shard_index")
+def epoch_permutation(spark, folder):
+    return M.permutation(table(spark, folder, "shard_index"), "shard_id", "42-0-8192").select("shard_id", "rank_key")
+
+
+@query()
+def pipeline_stats(spark, folder):
+    """Counters of the whole preparation."""
+    return prepare(table(spark, folder, "raw_docs"), 200_000, 8192).stats()
