@@ -77,4 +77,17 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_quality, p1_by_source, p2_found, p2_languages, p3_token_totals, p3_record_tokens, p4_found, p4_groups, p5_found, p5_items, p6_mix, p6_shares, p7_found, p7_redacted)}
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{Nd}}]+')"
+_RUNS = "list_distinct(list_transform(generate_series(1, len(w) - {0} + 1), lambda i: array_to_string(w[i:i + {0} - 1], ' ')))"
+_LEAKS = (
+    f"WITH d AS (SELECT doc_id, {_WORDS.format('strip_accents(coalesce(text, chr(32)))')} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format('strip_accents(coalesce(text, chr(32)))')} AS w FROM benchmark), "
+    f"a AS (SELECT doc_id, unnest({_RUNS.format(12)}) AS r FROM d WHERE len(w) >= 12), b AS (SELECT item_id, unnest({_RUNS.format(12)}) AS r FROM i WHERE len(w) >= 12), l AS (SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (r)) "
+)
+ORACLE_SQL: dict[str, str] = {
+    "p4_found": f"WITH t AS (SELECT seq, {_WORDS.format("coalesce(nullif(text, ''), nullif(content, ''), nullif(raw_content, ''), '')")} AS w FROM raw_docs), s AS (SELECT seq, {_RUNS.format(5)} AS g FROM t WHERE len(w) >= 30), "
+    "e AS (SELECT seq, len(g) AS n, hash(unnest(g)) AS r FROM s), c AS (SELECT a.seq AS seq_a, b.seq AS seq_b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.r = b.r AND a.seq < b.seq GROUP BY ALL) "
+    "SELECT seq_a, seq_b FROM c WHERE k >= 0.8 * (na + nb - k) - 1e-9",
+    "p5_found": _LEAKS + "SELECT doc_id, item_id FROM l",
+    "p5_items": _LEAKS + "SELECT item_id, (SELECT count(*) FROM l WHERE l.item_id = benchmark.item_id)::BIGINT AS n_documents FROM benchmark",
+}
