@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 # Fixed value: white space as in Unicode, with the separators U+001C to U+001F.
 WS = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 HSPACE = r"[\t\x0b\x0c\x1c-\x1f\x85 \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD_HSPACE = HSPACE.replace(" ", "")
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -139,7 +140,7 @@ def tidy(c: Column) -> Column:
     c = F.regexp_replace(c, r"\[!\[[^\n]*?\]\([^\n]*?\)\]\([^\n]*?\)", "")
     c = F.regexp_replace(c, r"!\[[^\n]*?\]\([^\n]*?\)", "")
     c = F.regexp_replace(c, LINE_BREAK, "\n")
-    c = F.regexp_replace(c, HSPACE + "+", " ")
+    c = F.regexp_replace(c, f"{ODD_HSPACE}{HSPACE}*| {HSPACE}+", " ")  # single blanks stay as they are
     c = F.regexp_replace(c, " ?\n ?", "\n")
     c = F.regexp_replace(c, "\n{3,}", "\n\n")
     return strip(c)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from garimpo.functions.text import text_fallback
 from garimpo.operators import packing as P
 from garimpo.plans.prefix import running_offset
-from garimpo.plans.registry import query, table
+from garimpo.plans.registry import query, table, texts
 from garimpo.plans.text_queries import WORDS
 
 EOS = 1
@@ -18,7 +18,7 @@ OFF = DOC + ", o AS (SELECT *, coalesce(sum(n + 1) OVER (ORDER BY doc_id ROWS BE
 
 
 def docs(spark, folder):
-    d = table(spark, folder, "documents")
+    d = texts(spark, folder, "documents")
     return d.select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), P.hashed_ids(F.col("text")).alias("ids"))
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from garimpo.plans.materialize import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,6 +32,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work that is heavy on each row: a scan of too few splits is spread over the cores."""
+    return spread(table(spark, folder, name))
+
+
 def load() -> None:
     """Import all modules that register queries."""
     from garimpo.plans import log_queries, packing_queries, relational_queries, source_queries, text_queries, vocabulary_queries  # noqa: F401

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from garimpo.functions.text import text_fallback
 from garimpo.operators import mixing as M
+from garimpo.operators import packing as P
 from garimpo.operators import quality as Q
 from garimpo.plans.materialize import shared_dir
 from garimpo.plans.packing_queries import _budget
 from garimpo.plans.pipeline import prepare
-from garimpo.plans.registry import query, table
-from garimpo.operators import packing as P
+from garimpo.plans.registry import query, table, texts
 from garimpo.sources import files, shards
 
 
@@ -187,4 +187,4 @@ def epoch_permutation(spark, folder):
 @query()
 def pipeline_stats(spark, folder):
     """Counters of the whole preparation."""
-    return prepare(table(spark, folder, "raw_docs"), 200_000, 8192).stats()
+    return prepare(texts(spark, folder, "raw_docs"), 200_000, 8192).stats()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from garimpo.functions import text as X
 from garimpo.operators import dedup as D
 from garimpo.operators import quality as Q
-from garimpo.plans.registry import query, table
+from garimpo.plans.registry import query, table, texts
 
 WS = X.WS
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS_PT) + "]"
@@ -32,11 +32,11 @@ IS_PT = """coalesce({flag}, CASE WHEN regexp_matches(lower({s}), '^(pt_|pt-|por_
 
 
 def _docs(spark, folder):
-    return table(spark, folder, "documents")
+    return texts(spark, folder, "documents")
 
 
 def _raw(spark, folder):
-    return table(spark, folder, "raw_docs")
+    return texts(spark, folder, "raw_docs")
 
 
 @query(f"SELECT seq, md5({EFFECTIVE}) AS text_md5, length({EFFECTIVE})::BIGINT AS n_chars FROM raw_docs")

@@ -88,6 +88,10 @@ def candidate_order(spark, folder):
 RANKED = FREQ + ", k AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS r FROM c WHERE token <> 1), m AS (SELECT token AS old_id, CASE WHEN r <= 998 THEN r + 1 ELSE 1 END AS new_id FROM k)"
 
 
+def _counts(ids):
+    return ids.select(F.explode("ids").alias("old_id")).groupBy("old_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _remap(spark, folder):
     return V.frequency_remap(frequencies(spark, folder).withColumnRenamed("token", "old_id"), EOS, 1000)
 
@@ -99,8 +103,9 @@ def freq_remap(spark, folder):
 
 @query(RANKED + ", x AS (SELECT doc_id, unnest(ids) AS token FROM t) SELECT doc_id, sum(new_id)::BIGINT AS id_sum, count(*)::BIGINT AS n FROM x JOIN m ON m.old_id = x.token GROUP BY doc_id")
 def token_remap(spark, folder):
-    t = docs(spark, folder).select("doc_id", F.explode("ids").alias("old_id")).groupBy("doc_id", "old_id").agg(F.count(F.lit(1)).alias("k"))  # pre-aggregated before the join
-    return t.join(_remap(spark, folder), "old_id").groupBy("doc_id").agg(F.sum(F.col("new_id") * F.col("k")).alias("id_sum"), F.sum("k").alias("n"))
+    ids = materialize(docs(spark, folder).select("doc_id", "ids"), "ids")  # read twice
+    t = ids.select("doc_id", F.explode("ids").alias("old_id")).groupBy("doc_id", "old_id").agg(F.count(F.lit(1)).alias("k"))  # pre-aggregated before the join
+    return t.join(V.frequency_remap(_counts(ids), EOS, 1000), "old_id").groupBy("doc_id").agg(F.sum(F.col("new_id") * F.col("k")).alias("id_sum"), F.sum("k").alias("n"))
 
 
 @query(RANKED + " SELECT round(sum(CASE WHEN new_id = 1 THEN n ELSE 0 END) / sum(n), 6) AS unk_rate FROM m JOIN c ON c.token = m.old_id")
