@@ -183,7 +183,8 @@ def _measure(texts: list[str]) -> dict[str, np.ndarray]:
     tight = {c: _line_sums((cp == ord(c)) & (after != 32), line_start) for c in ";,&"}
     gaps = _line_sums((cp == 32) & (after == 32) & ~np.isin(before, np.array([ord(c) for c in " \n.!?:;,"], np.uint32)), line_start)
     inline = _line_sums(np.isin(cp, np.array([ord(c) for c in "|•·;,/>»"], np.uint32)), line_start)
-    line_words = np.bincount(np.searchsorted(line_start, w.starts, side="right") - 1, minlength=len(line_start)) if len(line_start) else np.empty(0, np.int64)
+    word_line = np.searchsorted(line_start, w.starts, side="right") - 1
+    line_words = np.bincount(word_line, minlength=len(line_start))
 
     # the last character that is not white space, behind closing quotes and brackets
     idx = np.arange(len(cp))
@@ -274,6 +275,8 @@ def _measure(texts: list[str]) -> dict[str, np.ndarray]:
     at = np.minimum(np.searchsorted(known, w.hashes), len(known) - 1)
     codes = np.where(known[at] == w.hashes, code_of[at], width - 1)
     f = np.bincount(owner * width + codes, minlength=n * width).reshape(-1, width).astype(float)
+    brief = (shape >= 3)[word_line]
+    f_items = np.bincount((owner * width + codes)[brief], minlength=n * width).reshape(-1, width).astype(float)
     for i in marked:  # the statistics keep the markup
         if plain[i] is not texts[i]:
             own = words_of(texts[i])
@@ -284,7 +287,7 @@ def _measure(texts: list[str]) -> dict[str, np.ndarray]:
     return {
         "words": n_words, "letters": letters, "size": raw_size, "symbols": np.maximum(raw_size - letters - blanks, 0), "ended": per_doc(ended.astype(float)), "lines": n_lines,
         "rows": per_doc(np.where(is_row, size, 0)) / whole, "code": per_doc(np.where(is_code, size, 0)) / whole, "hexes": hexes / whole, "repeats": repeats,
-        "garbled": garbled, "chars": chars, "function": f, "shapes": shapes,
+        "garbled": garbled, "chars": chars, "function": f, "function_items": f_items, "shapes": shapes,
     }
 
 
@@ -300,7 +303,10 @@ def measure(texts: list) -> dict[str, np.ndarray]:
     noise_first = next(i for i, x in enumerate(names) if x.startswith("noise"))
     d_char = divergence(chars, np.array([CHARACTER_PROFILES[x] for x in names]))
     f = m["function"] / np.maximum(m["function"].sum(axis=1, keepdims=True), 1)
-    d_word = divergence(f, function_index()[1])
+    # where items make up most of a text, their words decide, not those of a sentence above them
+    in_items = m["shapes"][:, 3:].sum(axis=1) > 0.5 * m["shapes"].sum(axis=1)
+    items = m["function_items"]
+    d_word = divergence(np.where(in_items[:, None], items / np.maximum(items.sum(axis=1, keepdims=True), 1), f), function_index()[1])
     d_shape = divergence(m["shapes"] / np.maximum(m["shapes"].sum(axis=1, keepdims=True), 1), np.array(list(SHAPE_PROFILES.values())))
     n_prose = sum(x.startswith("prose") for x in SHAPE_PROFILES)
     prose_char, noise_char = d_char[:, :noise_first].min(axis=1), d_char[:, noise_first:].min(axis=1)
@@ -313,7 +319,6 @@ def measure(texts: list) -> dict[str, np.ndarray]:
     # words without any sentence: running text that has the function words of no language
     bare = (item_word < prose_word) & (common < 0.06) & (prose_shape < list_shape) & latin
     kind = np.zeros(n, np.int64)
-    in_items = m["shapes"][:, 3:].sum(axis=1) > 0.5 * m["shapes"].sum(axis=1)
     kind[like_list & in_items & (words >= MIN_WORDS)] = 1
     kind[bare & (words >= MIN_WORDS)] = 3
     kind[is_noise | (m["repeats"] > REPEATED)] = 3
