@@ -33,6 +33,7 @@ BUCKETS = 1 << 15
 DIM = 16
 NEAR = 3  # words on either side that a word is scored with
 MIN_CONFIDENCE = 0.5
+VOWELS = frozenset("aeioyàáéèêíóôú")
 
 
 def subwords(word: str) -> list[int]:
@@ -91,7 +92,7 @@ def labelled_lines(texts: list[str]) -> tuple[list[list[str]], np.ndarray]:
     return lines, np.array(labels, np.int64)
 
 
-def train(texts: list[str], epochs: int = 4, rate: float = 0.5, batch: int = 128, max_error: float = 0.01, seed: int = 7, max_lines: int = 12_000) -> Model | None:
+def train(texts: list[str], epochs: int = 6, rate: float = 1.0, batch: int = 128, max_error: float = 0.01, seed: int = 7, max_lines: int = 12_000, most_balance: float = 2.0) -> Model | None:
     """Fit the model on the labelled lines of ``texts``; None if there is none. At most ``max_lines`` lines are used."""
     lines, y = labelled_lines(texts)
     rng = np.random.default_rng(seed)
@@ -109,7 +110,7 @@ def train(texts: list[str], epochs: int = 4, rate: float = 0.5, batch: int = 128
     wts, bias = rng.normal(0, 0.1, (DIM, len(LANGUAGES))).astype(np.float32), np.zeros(len(LANGUAGES), np.float32)
     held = max(1, len(lines) // 10) if len(lines) > 20 else 0
     share = np.bincount(y[held:], minlength=len(LANGUAGES)) / max(1, len(y) - held)
-    balance = np.where(share > 0, np.minimum(4, 0.25 / np.maximum(share, 1e-9)), 0).astype(np.float32)
+    balance = np.where(share > 0, np.minimum(most_balance, 0.25 / np.maximum(share, 1e-9)), 0).astype(np.float32)
 
     def gathered(take):
         words = np.concatenate([ids[i] for i in take])
@@ -185,7 +186,7 @@ class Reader:
         self.known, self.row, self.table = np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros((0, len(LANGUAGES)))
 
     def _scores(self, w: Words) -> np.ndarray:
-        """Scores of each word of ``w``; words of digits have none."""
+        """Scores of each word of ``w``; numbers and single consonants (which number the items of lists) have none."""
         hashes, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.limit:
             self._forget()
@@ -194,7 +195,7 @@ class Reader:
         if new.any():
             words = [w.word(k) for k in first[new].tolist()]
             fresh = self.model.scores(words)
-            fresh[[x.isdigit() for x in words]] = 0
+            fresh[[x.isdigit() or len(x) == 1 and x not in VOWELS for x in words]] = 0
             row = np.r_[self.row, len(self.table) + np.arange(len(words))]
             self.table = np.concatenate([self.table, fresh])
             known = np.concatenate([self.known, hashes[new]])
@@ -279,14 +280,11 @@ def _fit(raw: DataFrame, sample_rows: int) -> Model | None:
     return fit(raw.select("seq", effective_text(raw).alias("text")), sample_rows)
 
 
-def _by_record(lines: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, votes and scores of each record."""
-    r, k = lines["record"], len(LANGUAGES)
-
-    def add(x):
-        return np.stack([np.bincount(r, weights=x[:, c], minlength=n) for c in range(k)], axis=1)
-
-    return np.bincount(r, weights=lines["words"], minlength=n).astype(np.int64), add(lines["votes"]), add(lines["scores"])
+def _by_record(lines: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each record, and its votes by language."""
+    r, v = lines["record"], lines["votes"]
+    votes = np.stack([np.bincount(r, weights=v[:, c], minlength=n) for c in range(v.shape[1])], axis=1)
+    return np.bincount(r, weights=lines["words"], minlength=n).astype(np.int64), votes
 
 
 def record_languages(raw: DataFrame, sample_rows: int = 3000) -> DataFrame:
@@ -298,9 +296,12 @@ def record_languages(raw: DataFrame, sample_rows: int = 3000) -> DataFrame:
 
     def rows(b, texts, kinds, reader):
         lines = reader.lines(texts)
-        _, votes, scores = _by_record(lines, len(texts))
-        lang, conf = reader.languages(votes, scores)
+        _, votes = _by_record(lines, len(texts))
+        lang, conf = _record_confidence(reader, lines, votes)
+        least = reader.model.reject if reader.model is not None else 1.0
+        lang = np.where(conf >= min(least, 0.5), lang, -1)
         each, each_conf = reader.languages(lines["votes"], lines["scores"])
+        each = _in_context(lines, each, each_conf, lang)
         mixed = _mixed(lines, each, len(texts))[lines["record"]]
         where = np.r_[np.arange(len(texts)), lines["record"][mixed]]
         yield pa.RecordBatch.from_arrays(
@@ -311,6 +312,24 @@ def record_languages(raw: DataFrame, sample_rows: int = 3000) -> DataFrame:
     return _segments(raw, _fit(raw, sample_rows), rows, "seq bigint, line_no int, lang string, confidence double")
 
 
+def _in_context(lines: dict[str, np.ndarray], each: np.ndarray, conf: np.ndarray, record: np.ndarray) -> np.ndarray:
+    """Language of each line: one that differs from its record's only counts if it is clearly ahead of that."""
+    own, votes, at = record[lines["record"]], lines["votes"], np.arange(len(each))
+    best = votes[at, np.maximum(each, 0)]
+    ahead = (best >= 0.65 * votes.sum(axis=1)) & (best >= 2 * votes[at, np.maximum(own, 0)]) & (conf >= 0.4)
+    return np.where((each != own) & (own >= 0) & ~ahead, own, each)
+
+
+def _record_confidence(reader: Reader, lines: dict[str, np.ndarray], votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language of most words of each record, and the share of its words that are in it, weighted by their lines' confidence."""
+    best = votes.argmax(axis=1)
+    own = best[lines["record"]]
+    conf = reader.confidence(lines["scores"], lines["votes"], own)
+    held = np.bincount(lines["record"], weights=conf * lines["votes"][np.arange(len(own)), own], minlength=len(best))
+    n = votes.sum(axis=1)
+    return np.where(n > 0, best, -1), held / np.maximum(n, 1)
+
+
 def _mixed(lines: dict[str, np.ndarray], lang: np.ndarray, n: int, least: int = 8) -> np.ndarray:
     """Whether the lines of at least ``least`` words of each record are in more than one language."""
     ok = (lines["words"] >= least) & (lang >= 0)
@@ -319,12 +338,12 @@ def _mixed(lines: dict[str, np.ndarray], lang: np.ndarray, n: int, least: int =
     return held.sum(axis=1) > 1
 
 
-def mislabelled(raw: DataFrame, sample_rows: int = 3000, least_words: int = 10, least_line: int = 8, least_confidence: float = 0.3) -> DataFrame:
+def mislabelled(raw: DataFrame, sample_rows: int = 3000, least_words: int = 10, least_line: int = 8, least_confidence: float = 0.1) -> DataFrame:
     """(seq, line_no, lang): records whose ``is_pt`` is missing or wrong, and the lines of records in several languages.
 
     ``line_no`` 0 stands for a record of at least ``least_words`` words; lines of at least ``least_line`` words are
-    numbered from 1 among all that are not blank. Code, tables and junk give no rows. The texts of a record in several
-    languages have scores in between, so only what is below ``least_confidence`` is rejected here.
+    numbered from 1 among all that are not blank. Code, tables and junk give no rows. Every record needs a language
+    here, so only what is below ``least_confidence`` is rejected.
     """
 
     def rows(b, texts, kinds, reader):
@@ -332,12 +351,14 @@ def mislabelled(raw: DataFrame, sample_rows: int = 3000, least_words: int = 10,
         texts = [texts[i] for i in read]
         flag = b.column(1).take(pa.array(read)).to_pylist()
         lines = reader.lines(texts)
-        words, votes, scores = _by_record(lines, len(texts))
-        lang, _ = reader.languages(votes, scores, least_confidence)
+        words, votes = _by_record(lines, len(texts))
+        lang, conf = _record_confidence(reader, lines, votes)
+        lang = np.where(conf >= least_confidence, lang, -1)
         pt = LANGUAGES.index("pt")
         wrong = np.array([f is None or f != (x == pt) for f, x in zip(flag, lang)], bool)
         whole = np.flatnonzero((words >= least_words) & (lang >= 0) & wrong)
-        each, _ = reader.languages(lines["votes"], lines["scores"], least_confidence)
+        each, each_conf = reader.languages(lines["votes"], lines["scores"], least_confidence)
+        each = _in_context(lines, each, each_conf, lang)
         part = np.flatnonzero(_mixed(lines, each, len(texts), least_line)[lines["record"]] & (lines["words"] >= least_line) & (each >= 0))
         where = read[np.r_[whole, lines["record"][part]].astype(np.int64)]
         yield pa.RecordBatch.from_arrays(
