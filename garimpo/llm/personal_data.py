@@ -90,7 +90,7 @@ _BEFORE_STREET = re.compile(rf"(?<![\w.,-])\d{{1,5}}(?:{GAP}[A-ZÀ-Þ][\w'’-]*
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _PART = re.compile(rf"{GAP}((?:d['’])?[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*)(\.(?!\w))?")
 _REVERSED = re.compile(rf"((?:(?:d['’])?[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+)(?:{GAP}(?:d['’])?[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+)?),{GAP}$")
-_LABEL = re.compile(r"(?:nome|name|nom|nombre|por|by|to|com|con|avec|segundo|segundo|según|selon|agradeço a|presentes|att|regards|atenciosamente|abraços|with|réu|autor|autora|ré|assinado|firmado por|present|saludos|cordialement|sincerely|was|é|a|from|de)\W*(?:(?:sr|sra|dr|dra|prof|profa|mr|mrs|ms|dona|don|doña)\.?\s+)?[\W]*$", re.I)
+_LABEL = re.compile(r"(?:nome|name|nom|nombre|por|by|to|com|con|avec|segundo|segundo|según|selon|agradeço a|presentes|att|regards|atenciosamente|abraços|with|réu|autor|autora|ré|assinado|firmado por|present|como|comme|as|for|para|pour|saludos|cordialement|sincerely|was|é|a|from|de)\W*(?:(?:sr|sra|dr|dra|prof|profa|mr|mrs|ms|dona|don|doña)\.?\s+)?[\W]*$", re.I)
 
 
 def valid_cpf(digits: str) -> bool:
