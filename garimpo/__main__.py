@@ -1,4 +1,8 @@
-"""``python -m garimpo prepare IN OUT``: records in Parquet to token shards."""
+"""Command line.
+
+``prepare IN OUT``: records in Parquet to token shards. ``compare-runs LOG REFERENCE``: final losses against a run's,
+exit code 1 if one fails its gate. ``prune-tokenizer FILE FREQUENCIES OUT --size N``: a vocabulary closed under its merges.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,34 @@ import argparse
 from pyspark.sql import SparkSession
 
 
+def compare_runs(o: argparse.Namespace) -> int:
+    from pyspark.sql import functions as F
+
+    from garimpo.operators import runlog
+
+    spark = SparkSession.builder.getOrCreate()
+    final = runlog.final_loss(runlog.first_received(spark.read.parquet(o.log)), o.key)
+    reference = final.filter(F.col("run") == o.reference).first()
+    if reference is None:
+        raise SystemExit(f"no values of {o.reference}")
+    rows = final.select("run", "final", runlog.gate(F.lit(reference["final"]), F.col("final"), not o.lossy).alias("g")).orderBy("run").collect()
+    for r in rows:
+        print(f"| {r['run']} | {r['final']:.6f} | {r['g']['gap']:+.4%} | {'pass' if r['g']['passed'] else 'FAIL'} |")
+    return int(not all(r["g"]["passed"] for r in rows))
+
+
+def prune_tokenizer(o: argparse.Namespace) -> int:
+    from garimpo.operators import vocabulary
+    from garimpo.sources import files
+
+    spark = SparkSession.builder.getOrCreate()
+    vocab, merges = files.tokenizer_file(spark, o.tokenizer)
+    chosen = vocabulary.select(vocab, merges, files.token_frequencies(spark, o.frequencies, vocab), vocab.filter(f"id < {o.protect_below}"), o.size)
+    kept = vocab.join(chosen, "token", "left_semi")
+    files.export_tokenizer(vocabulary.contiguous_ids(kept, o.eos), vocabulary.pruned_merges(merges, chosen), o.output)
+    return 0
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="garimpo")
     sub = p.add_subparsers(dest="command", required=True)
@@ -17,7 +49,23 @@ def main(args: list[str] | None = None) -> int:
     a.add_argument("--shard-size", type=int, default=1 << 28)
     a.add_argument("--unit-len", type=int, default=8192)
     a.add_argument("--eos-id", type=int, default=1)
+    a = sub.add_parser("compare-runs")
+    a.add_argument("log")
+    a.add_argument("reference")
+    a.add_argument("--key", default="lm_loss")
+    a.add_argument("--lossy", action="store_true")
+    a = sub.add_parser("prune-tokenizer")
+    a.add_argument("tokenizer")
+    a.add_argument("frequencies")
+    a.add_argument("output")
+    a.add_argument("--size", type=int, required=True)
+    a.add_argument("--protect-below", type=int, default=261, help="tokens with smaller ids stay")
+    a.add_argument("--eos")
     o = p.parse_args(args)
+    if o.command == "compare-runs":
+        return compare_runs(o)
+    if o.command == "prune-tokenizer":
+        return prune_tokenizer(o)
     if o.shard_size <= 0 or o.unit_len <= 0 or o.eos_id < 0 or o.shard_size % o.unit_len:
         p.error("shard size must be a positive multiple of the unit length, the end mark not negative")
     from garimpo.plans.pipeline import prepare
