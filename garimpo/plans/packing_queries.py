@@ -77,8 +77,14 @@ SPILL = BUDGET + (
 )
 
 
+def placed(spark, folder):
+    """All documents one behind the other, ``written`` whole; the budget is no matter of the shards."""
+    n = F.size("ids") + 1
+    return running_offset(docs(spark, folder), "doc_id", n).withColumn("written", n.cast("bigint"))
+
+
 def _parts(spark, folder):
-    return P.shard_parts(_budget(spark, folder), 4096)
+    return P.shard_parts(placed(spark, folder), 4096)
 
 
 @query(SPILL + " SELECT doc_id, shard_id::BIGINT AS shard_id, shard_pos::BIGINT AS shard_pos, n_part::BIGINT AS n_part FROM p")

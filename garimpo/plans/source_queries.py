@@ -12,7 +12,7 @@ from garimpo.operators import mixing as M
 from garimpo.operators import packing as P
 from garimpo.operators import quality as Q
 from garimpo.plans.materialize import shared_dir
-from garimpo.plans.packing_queries import _budget
+from garimpo.plans.packing_queries import placed
 from garimpo.plans.pipeline import prepare
 from garimpo.plans.registry import query, table, texts
 from garimpo.sources import files, shards
@@ -89,7 +89,7 @@ def sidecar_check(spark, folder):
 def shard_round_trip(spark, folder):
     """Shards written in the binary format and read back."""
     path = _local(_place(spark, "shards"))
-    t = P.shard_tokens(P.shard_parts(_budget(spark, folder), 4096), "ids", 1).withColumn("shard_id", F.col("shard_id").cast("int"))
+    t = P.shard_tokens(P.shard_parts(placed(spark, folder), 4096), "ids", 1).withColumn("shard_id", F.col("shard_id").cast("int"))
     shards.write_shards(t, path, 1, 1024)
     got = shards.read_shards(spark, path, block="1024")
     return got.groupBy(F.regexp_extract("path", r"shard_(\d+)", 1).cast("int").alias("shard_id")).agg(F.sum(F.size("tokens")).alias("n_tokens"), F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("id_sum"))

@@ -1,7 +1,7 @@
 """Binary token shards as a Spark data source: little-endian unsigned integers with a JSON sidecar.
 
 ``spark.read.format("token_shards").load(folder)`` gives (path, pos, tokens): blocks of tokens of each shard, one
-partition a shard. Options: ``dtype`` (uint32 or uint16), ``block`` (tokens a row), ``check`` (false skips the sidecar).
+partition a shard, or for several small ones. Options: ``dtype`` (uint32 or uint16), ``block`` (tokens a row), ``check`` (false skips the sidecar).
 ``df.write.format("token_shards").mode("append").save(folder)`` takes (shard_id int, shard_pos bigint, tokens
 array<bigint>), each shard within one partition and in order; files appear under their names only when the job commits.
 """
@@ -19,10 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, pos bigint, tokens array<bigint>"
 WIDTH = {"uint32": 4, "uint16": 2}
+TASK_BYTES = 1 << 22  # small shards share a task up to this size
 
 
 def sidecar_of(path: str) -> str:
@@ -56,7 +58,7 @@ def resolve(patterns: list[str]) -> list[str]:
 
 @dataclass
 class ShardPartition(InputPartition):
-    path: str
+    paths: list[str]
 
 
 class ShardReader(DataSourceReader):
@@ -67,18 +69,30 @@ class ShardReader(DataSourceReader):
         self.check = options.get("check", "true").lower() != "false"
 
     def partitions(self) -> list[InputPartition]:
-        return [ShardPartition(p) for p in resolve([os.path.join(self.folder, "*.bin")])]
+        out, room = [], 0
+        for p in resolve([os.path.join(self.folder, "*.bin")]):
+            size = os.path.getsize(p)
+            if not out or size > room:
+                out.append(ShardPartition([]))
+                room = TASK_BYTES
+            out[-1].paths.append(p)
+            room -= size
+        return out
 
     def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths:
+            yield from self.read_shard(path)
+
+    def read_shard(self, path: str) -> Iterator[pa.RecordBatch]:
         if self.check:
-            check_shard(partition.path, self.dtype)
-        if os.path.getsize(partition.path) == 0:
+            check_shard(path, self.dtype)
+        if os.path.getsize(path) == 0:
             return
-        data = np.memmap(partition.path, dtype=f"<u{WIDTH[self.dtype]}", mode="r")
+        data = np.memmap(path, dtype=f"<u{WIDTH[self.dtype]}", mode="r")
         for at in range(0, len(data), self.block):
             part = np.asarray(data[at : at + self.block]).astype(np.int64)
             tokens = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))
-            yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([at], pa.int64()), tokens], ["path", "pos", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([at], pa.int64()), tokens], ["path", "pos", "tokens"])
 
 
 @dataclass
@@ -166,8 +180,10 @@ def read_shards(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 
 def write_shards(tokens: DataFrame, folder: str, eos: int, unit_len: int, dtype: str = "uint32") -> None:
-    """Write ``tokens(shard_id, shard_pos, tokens)``: one task a shard, sorted within."""
+    """Write ``tokens(shard_id, shard_pos, tokens)``: each shard in one task, small ones together, sorted within."""
     register(tokens.sparkSession)
-    n = tokens.select("shard_id").distinct().count()
-    placed = tokens.repartition(max(n, 1), "shard_id").sortWithinPartitions("shard_id", "shard_pos")
+    sizes = tokens.groupBy("shard_id").agg(F.sum(F.size("tokens")).alias("n"))
+    n, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = min(n, total * WIDTH[dtype] // TASK_BYTES + 1)
+    placed = tokens.repartition(max(tasks, 1), "shard_id").sortWithinPartitions("shard_id", "shard_pos")
     placed.select("shard_id", "shard_pos", "tokens").write.format("token_shards").mode("append").options(eos_id=eos, unit_len=unit_len, dtype=dtype).save(folder)
