@@ -184,7 +184,18 @@ def epoch_permutation(spark, folder):
     return M.permutation(table(spark, folder, "shard_index"), "shard_id", "42-0-8192").select("shard_id", "rank_key")
 
 
+def _prepared(spark, folder):
+    return prepare(texts(spark, folder, "raw_docs"), 1 << 40, 8192)  # the budget of ``python -m garimpo``: no table reaches it
+
+
 @query()
 def pipeline_stats(spark, folder):
     """Counters of the whole preparation."""
-    return prepare(texts(spark, folder, "raw_docs"), 200_000, 8192).stats()
+    return _prepared(spark, folder).stats()
+
+
+@query()
+def pipeline_shards(spark, folder):
+    """Tokens of each shard of the whole preparation, in all and by source."""
+    listed = F.array_join(F.transform(F.map_entries("sources"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return _prepared(spark, folder).sidecars(1024).select("shard_id", "n_tokens", listed.alias("sources"))

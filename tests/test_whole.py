@@ -55,3 +55,28 @@ def test_round_trip_holds_all_documents(spark, long_documents):
     stream = [t for _, text, _ in docs for t in [*map(word_id, text.split()), 1]]
     want = [(sum(stream[i : i + 4096]), len(stream[i : i + 4096]), i // 4096) for i in range(0, len(stream), 4096)]
     assert rows_of(run(spark, folder, "shard_round_trip").select("id_sum", "n_tokens", "shard_id")) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def many_records(spark, tmp_path_factory):
+    """220,000 words in texts that pass all filters and share nothing."""
+    rng, folder = random.Random(6), tmp_path_factory.mktemp("many")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join("".join(rng.choices(letters, k=6)) for _ in range(20_000)), None, None, f"code_{i % 2}", None, False) for i in range(11)]
+    write(spark, folder, "raw_docs", rows, "seq bigint, text string, content string, raw_content string, _source string, source string, is_pt boolean")
+    return folder
+
+
+def test_pipeline_has_no_cap(spark, many_records):
+    assert [(r["status"], r["reason"], r["n"]) for r in run(spark, many_records, "pipeline_stats").collect()] == [("accepted", None, 11)]
+
+
+def test_pipeline_shards_hold_all_tokens(spark, many_records):
+    got = run(spark, many_records, "pipeline_shards").orderBy("shard_id").collect()
+    n = 11 * 20_001
+    assert [r["n_tokens"] for r in got] == [8192] * (n // 8192) + [n % 8192]
+    by = {}
+    for r in got:
+        for k, v in (x.split("=") for x in r["sources"].split(";")):
+            by[k] = by.get(k, 0) + int(v)
+    assert by == {"code_0": 6 * 20_001, "code_1": 5 * 20_001}
