@@ -120,13 +120,17 @@ def synthetic_shard(spark, folder):
 
 @query("SELECT seq FROM (SELECT seq, trim(coalesce(nullif(text, ''), nullif(content, ''))) AS t FROM raw_docs) WHERE length(t) > 500")
 def pt_quality_stream(spark, folder):
-    t = text_fallback(F.col("text"), F.col("content"))
-    return table(spark, folder, "raw_docs").filter(F.length(F.trim(t)) > 500).select("seq")
+    """Effective texts that pass the legacy filter for Portuguese."""
+    t = text_fallback(F.col("text"), F.col("content"), F.col("raw_content"))
+    return texts(spark, folder, "raw_docs").filter(Q.legacy_quality(t, F.lit(True))).select("seq")
 
 
 @query("SELECT vec_id FROM embeddings WHERE coalesce(label >= 3, true) AND len(embedding) = 64")
 def edu_quality_stream(spark, folder):
-    return table(spark, folder, "embeddings").filter(Q.score_filter(F.col("label").cast("string")) & (F.size("embedding") == 64)).select("vec_id")
+    """Texts whose score is 3 or more, or missing, that pass the legacy filter; the score is the label of the vector with the document's number."""
+    scores = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("score"))
+    d = texts(spark, folder, "documents").select("doc_id", "text").join(scores, "doc_id", "left")
+    return d.filter(Q.score_filter(F.col("score"))).filter(Q.legacy_quality(F.col("text"), F.lit(False))).select("doc_id")
 
 
 @query("SELECT event_id, event_type, ('0x' || md5(event_id::VARCHAR)[1:4])::BIGINT AS h FROM events WHERE user_id % 3 = 0")

@@ -80,3 +80,21 @@ def test_pipeline_shards_hold_all_tokens(spark, many_records):
         for k, v in (x.split("=") for x in r["sources"].split(";")):
             by[k] = by.get(k, 0) + int(v)
     assert by == {"code_0": 6 * 20_001, "code_1": 5 * 20_001}
+
+
+GOOD = " ".join("A casa de pedra fica no alto da serra e a vista para o vale é bonita em dias de sol".split()[i % 20] + str(i // 20 or "") for i in range(60))
+ENGLISH = " ".join(f"every{i} house{i} stands{i}" for i in range(30))
+
+
+def test_pt_quality_stream_judges_whole_texts(spark, tmp_path):
+    short = GOOD[:200]  # good texts of 150 to 500 characters count, flooded, foreign and repeated ones don't
+    bad = [GOOD + " " + "!" * 9, ENGLISH * 2, "\n".join(["uma linha de que não se para"] * 30)]
+    rows = [(0, short, None, None), (1, "", None, GOOD), (2, None, GOOD, None), (3, None, None, None), *((4 + i, t, None, None) for i, t in enumerate(bad))]
+    write(spark, tmp_path, "raw_docs", rows, "seq bigint, text string, content string, raw_content string")
+    assert rows_of(run(spark, tmp_path, "pt_quality_stream")) == [(0,), (1,), (2,)]
+
+
+def test_edu_quality_stream_reads_the_texts(spark, tmp_path):
+    write(spark, tmp_path, "documents", [(0, ENGLISH), (1, ENGLISH), (2, ENGLISH + "#" * 9), (3, ENGLISH), (4, "short")], "doc_id bigint, text string")
+    write(spark, tmp_path, "embeddings", [(0, [0.0], 3), (1, [0.0], 2), (2, [0.0], 5)], "vec_id bigint, embedding array<float>, label int")
+    assert rows_of(run(spark, tmp_path, "edu_quality_stream")) == [(0,), (3,)]
