@@ -135,7 +135,11 @@ def edu_quality_stream(spark, folder):
 
 @query("SELECT event_id, event_type, ('0x' || md5(event_id::VARCHAR)[1:4])::BIGINT AS h FROM events WHERE user_id % 3 = 0")
 def prompt_response_pairs(spark, folder):
-    return table(spark, folder, "events").filter("user_id % 3 = 0").select("event_id", "event_type", F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 4), 16, 10).cast("bigint").alias("h"))
+    """Each event of a user (prompt) with the user's next one (response), over all rows."""
+    o = table(spark, folder, "events").select("user_id", "event_id", "event_type", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("turn"))
+    a = o.select("user_id", "turn", F.col("event_id").alias("prompt_id"), F.col("event_type").alias("prompt"))
+    b = o.select("user_id", (F.col("turn") - 1).alias("turn"), F.col("event_id").alias("response_id"), F.col("event_type").alias("response"))
+    return a.join(b, ["user_id", "turn"])
 
 
 SFT = "WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events)"

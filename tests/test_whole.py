@@ -98,3 +98,14 @@ def test_edu_quality_stream_reads_the_texts(spark, tmp_path):
     write(spark, tmp_path, "documents", [(0, ENGLISH), (1, ENGLISH), (2, ENGLISH + "#" * 9), (3, ENGLISH), (4, "short")], "doc_id bigint, text string")
     write(spark, tmp_path, "embeddings", [(0, [0.0], 3), (1, [0.0], 2), (2, [0.0], 5)], "vec_id bigint, embedding array<float>, label int")
     assert rows_of(run(spark, tmp_path, "edu_quality_stream")) == [(0,), (3,)]
+
+
+def test_prompt_response_pairs_cover_all_conversations(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(40), rng.randrange(10), f"t{i % 5}") for i in range(300)]
+    write(spark, tmp_path, "events", rows, "event_id bigint, ts bigint, user_id bigint, event_type string")
+    want = []
+    for u in range(10):
+        own = sorted((ts, e, kind) for e, ts, user, kind in rows if user == u)
+        want += [(a[2], a[1], b[2], b[1], k + 1, u) for k, (a, b) in enumerate(zip(own, own[1:]))]
+    assert rows_of(run(spark, tmp_path, "prompt_response_pairs")) == sorted(want)
