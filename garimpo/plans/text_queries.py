@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from garimpo.functions import text as X
 from garimpo.operators import dedup as D
 from garimpo.operators import quality as Q
+from garimpo.plans.materialize import materialize
 from garimpo.plans.registry import query, table, texts
 
 WS = X.WS
@@ -288,10 +290,14 @@ _HASHED = "list_transform({}, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT %
 
 @query(f"WITH s AS (SELECT doc_id, {_HASHED.format(TOKENS('text') + '[1:16]')} AS s FROM documents WHERE len({TOKENS('text')}) >= 16) SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_filter(generate_series(1, 16), lambda i: a.s[i] = b.s[i])) / 16.0, 6) AS similarity FROM s a JOIN s b ON b.doc_id = a.doc_id + 1")
 def signature_similarity(spark, folder):
-    w = F.slice(X.word_tokens(F.col("text")), 1, 16)
-    s = _docs(spark, folder).select("doc_id", w.alias("w")).filter(F.size("w") >= 16).select("doc_id", F.transform("w", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint") % 97).alias("s"))
-    a, b = s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(D.signature_similarity(F.col("sa"), F.col("sb")), 6).alias("similarity"))
+    """Similarity of all pairs of documents that share a band of their MinHash signatures; equal signatures share all."""
+    sigs = materialize(D.signatures(_docs(spark, folder).select(F.col("doc_id").alias("seq"), "text")), "all-signatures")
+    pairs = D.similar_pairs(sigs, threshold=0.0)
+    group = materialize(sigs.select("seq", F.min("seq").over(W.partitionBy("signature")).alias("first")), "groups")
+    left, right = group.select(F.col("seq").alias("m"), F.col("first").alias("a")), group.select(F.col("seq").alias("n"), F.col("first").alias("b"))
+    across = pairs.join(left, "a").join(right, "b").select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"), "similarity")
+    within = left.join(right, F.col("a") == F.col("b")).filter("m < n").select(F.col("m").alias("a"), F.col("n").alias("b"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(within).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT doc_id, text[1:4] = 'Para' AS starts, round(CASE WHEN length(text) > 10 AND NOT starts_with(text, '!') THEN greatest(s, 0.4) ELSE s END, 6) AS score FROM (SELECT doc_id, text, least(1.0, len(list_filter(['norma', 'theorem', 'safra', 'def '], lambda k: contains(lower(text), k))) / 1.6) AS s FROM documents WHERE text IS NOT NULL)")

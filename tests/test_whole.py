@@ -6,6 +6,7 @@ import random
 import duckdb
 import pytest
 
+from garimpo.operators import dedup
 from garimpo.plans import registry
 
 registry.load()
@@ -109,3 +110,24 @@ def test_prompt_response_pairs_cover_all_conversations(spark, tmp_path):
         own = sorted((ts, e, kind) for e, ts, user, kind in rows if user == u)
         want += [(a[2], a[1], b[2], b[1], k + 1, u) for k, (a, b) in enumerate(zip(own, own[1:]))]
     assert rows_of(run(spark, tmp_path, "prompt_response_pairs")) == sorted(want)
+
+
+def test_signature_similarity_of_all_candidates(spark, tmp_path):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (120, 80, 60, 9)]
+    texts = {}
+    for i in range(24):
+        w = list(base[i % 4])
+        for _ in range(i // 8):  # copies, then texts with words changed behind the 16th or at the end
+            w[rng.randrange(min(16, len(w) - 1), len(w))] = f"x{rng.randrange(5000)}"
+        texts[i * 3] = " ".join(w)
+    texts[100], texts[101] = "", None
+    write(spark, tmp_path, "documents", list(texts.items()), "doc_id bigint, text string")
+    sig = {k: dedup.signature(dedup.shingles(t, 5)) for k, t in texts.items() if t}
+    want = []
+    for a in sig:
+        for b in sig:
+            if a < b and any((sig[a][i : i + 4] == sig[b][i : i + 4]).all() for i in range(0, 128, 4)):
+                want.append((a, b, int((sig[a] == sig[b]).sum())))
+    assert any(s < 128 for *_, s in want) and any(s == 128 for *_, s in want)
+    assert [(a, b, round(s * 128)) for a, b, s in rows_of(run(spark, tmp_path, "signature_similarity"))] == sorted(want)
