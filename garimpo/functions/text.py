@@ -59,6 +59,11 @@ def source_fallback(*cols: Column) -> Column:
     return F.coalesce(*cols, F.lit("unknown"))
 
 
+def canonical_source(c: Column) -> Column:
+    """One spelling of a source name: trimmed, lower case, blanks and hyphens as underscores; null if empty."""
+    return F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_"), F.lit(""))
+
+
 def resolve_is_pt(flag: Column, source: Column, pt_sources: list[str] | None = None) -> Column:
     """The flag if there is one, else membership in ``pt_sources``, else what the source's name says (true in doubt)."""
     s = F.lower(source)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from garimpo.functions.text import text_fallback
+from garimpo.functions.text import canonical_source, text_fallback
 from garimpo.operators import mixing as M
 from garimpo.operators import packing as P
 from garimpo.operators import quality as Q
@@ -163,15 +163,24 @@ _W = {"pt_web": 0.65, "pt_hq": 0.1, "en_edu": 0.15, "code": 0.1}
 _CASE = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _W.items()) + " END"
 
 
+def _mixable(spark, folder):
+    """Documents of all sources of ``mix_targets`` under their canonical names, and their weights."""
+    name = canonical_source(F.col("source")).alias("source")
+    weights = dict(table(spark, folder, "mix_targets").select(name, "weight").collect())
+    d = table(spark, folder, "documents").select("doc_id", name)
+    return d.filter(F.col("source").isin(list(weights))), weights
+
+
 @query(f"SELECT doc_id, source, round(row_number() OVER (PARTITION BY source ORDER BY doc_id) / {_CASE}::DOUBLE, 6) AS pace FROM documents WHERE source IN ('pt_web', 'pt_hq', 'en_edu', 'code')")
 def weighted_mix(spark, folder):
-    return M.interleave(table(spark, folder, "documents").select("doc_id", "source"), "source", "doc_id", _W).select("doc_id", "source", F.round("pace", 6).alias("pace"))
+    d, weights = _mixable(spark, folder)
+    return M.interleave(d, "source", "doc_id", weights).select("doc_id", "source", F.round("pace", 6).alias("pace"))
 
 
 @query()
 def weighted_draws(spark, folder):
-    d = table(spark, folder, "documents").filter(F.col("source").isin(list(_W))).select("doc_id", "source")
-    return M.draw(d, "source", "doc_id", _W)
+    d, weights = _mixable(spark, folder)
+    return M.draw(d, "source", "doc_id", weights)
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 100")

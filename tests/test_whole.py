@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from garimpo.operators import dedup
+from garimpo.operators.mixing import drawn_order
 from garimpo.plans import registry
 
 registry.load()
@@ -131,3 +132,34 @@ def test_signature_similarity_of_all_candidates(spark, tmp_path):
                 want.append((a, b, int((sig[a] == sig[b]).sum())))
     assert any(s < 128 for *_, s in want) and any(s == 128 for *_, s in want)
     assert [(a, b, round(s * 128)) for a, b, s in rows_of(run(spark, tmp_path, "signature_similarity"))] == sorted(want)
+
+
+SPELT = ["pt_web", "PT_WEB", "pt-web", " pt_web", "code ", "Code", "math_en", "Math_En", "pt_legal", None, "other"]
+WEIGHTS = {"pt_web": 0.5, "code": 0.2, "math_en": 0.1, "pt_legal": 0.15, "pt_news": 0.05}
+
+
+@pytest.fixture(scope="module")
+def mixable(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("mix")
+    write(spark, folder, "documents", [(i, SPELT[i % len(SPELT)]) for i in range(110)], "doc_id bigint, source string")
+    write(spark, folder, "mix_targets", list(WEIGHTS.items()), "source string, weight double")
+    names = ["pt_web"] * 4 + ["code"] * 2 + ["math_en"] * 2 + ["pt_legal", None, None]
+    return folder, {i: names[i % len(SPELT)] for i in range(110) if names[i % len(SPELT)]}
+
+
+def test_weighted_mix_takes_all_sources_in_any_spelling(spark, mixable):
+    folder, source = mixable
+    n, want = dict.fromkeys(WEIGHTS, 0), []
+    for i, s in source.items():
+        n[s] += 1
+        want.append((i, n[s] / WEIGHTS[s], s))
+    got = rows_of(run(spark, folder, "weighted_mix"))
+    assert [(i, s) for i, _, s in got] == [(i, s) for i, _, s in want]
+    assert [p for _, p, _ in got] == pytest.approx([p for _, p, _ in want], abs=1e-6)
+
+
+def test_weighted_draws_take_all_sources_in_any_spelling(spark, mixable):
+    folder, source = mixable
+    own = {s: [i for i, x in source.items() if x == s] for s in sorted(set(source.values()))}
+    want = [(own[s][k], d, s) for d, s, k in drawn_order({s: len(x) for s, x in own.items()}, WEIGHTS)]
+    assert rows_of(run(spark, folder, "weighted_draws")) == sorted(want)
