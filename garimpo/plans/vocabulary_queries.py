@@ -54,9 +54,14 @@ def select_vocab(spark, folder):
     return V.select(_v(spark, folder), _m(spark, folder), _frequencies(spark, folder), _protected(spark, folder), 1000)
 
 
+def _selected(spark, folder):
+    """(token, id) of the selected vocabulary; a written table."""
+    return materialize(_v(spark, folder).join(select_vocab(spark, folder), "token", "left_semi"), "selected")
+
+
 @query(f"WITH {SELECTED} SELECT merge_rank, left_token, right_token FROM merges WHERE left_token || right_token IN (SELECT token FROM s) AND left_token IN (SELECT token FROM s) AND right_token IN (SELECT token FROM s)")
 def pruned_merges(spark, folder):
-    return V.pruned_merges(_m(spark, folder), _v(spark, folder).filter("id < 1500"))
+    return V.pruned_merges(_m(spark, folder), _selected(spark, folder))
 
 
 @query("SELECT token, id FROM vocab WHERE length(token) = 1 AND token NOT IN (SELECT left_token || right_token FROM merges)")
@@ -66,17 +71,17 @@ def byte_protected(spark, folder):
 
 @query("SELECT token FROM vocab WHERE id < 300 INTERSECT SELECT left_token FROM merges")
 def protected_vocab(spark, folder):
-    return _v(spark, folder).filter("id < 300").select("token").intersect(_m(spark, folder).select("left_token"))
+    return _selected(spark, folder).select("token").intersect(_m(spark, folder).select("left_token"))
 
 
 @query("SELECT token, id AS old_id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM vocab WHERE id % 2 = 0")
 def contiguous_ids(spark, folder):
-    return V.contiguous_ids(_v(spark, folder).filter("id % 2 = 0"))
+    return V.contiguous_ids(_selected(spark, folder))
 
 
 @query("WITH n AS (SELECT token, row_number() OVER (ORDER BY id) - 1 AS new_id FROM vocab WHERE id % 2 = 0) SELECT v.id AS old_id, coalesce(n.new_id, -1) AS new_id FROM vocab v LEFT JOIN n USING (token)")
 def vocab_remap(spark, folder):
-    return V.remap(_v(spark, folder), V.contiguous_ids(_v(spark, folder).filter("id % 2 = 0")))
+    return V.remap(_v(spark, folder), V.contiguous_ids(_selected(spark, folder)))
 
 
 @query(f"SELECT token, {FREQUENCY} AS freq, row_number() OVER (ORDER BY {FREQUENCY} DESC, id) AS place FROM vocab")

@@ -163,3 +163,40 @@ def test_weighted_draws_take_all_sources_in_any_spelling(spark, mixable):
     own = {s: [i for i, x in source.items() if x == s] for s in sorted(set(source.values()))}
     want = [(own[s][k], d, s) for d, s, k in drawn_order({s: len(x) for s, x in own.items()}, WEIGHTS)]
     assert rows_of(run(spark, folder, "weighted_draws")) == sorted(want)
+
+
+def chosen(vocab, merges, size=1000):
+    """Brute force of the selection: protected ids below 261, then by falling frequency, then the cheapest, closed under the merges."""
+    last = {x + y: (x, y) for _, x, y in sorted(merges)}
+
+    def need(t, seen):
+        if t not in seen:
+            seen.add(t)
+            for p in last.get(t, ()):
+                need(p, seen)
+        return seen
+
+    closed = {t: need(t, set()) for t, _ in vocab}
+    freq = {t: int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % 1000 for t, _ in vocab}
+    order, out = sorted(vocab, key=lambda x: x[1]), set()
+    for t, i in order:
+        if i < 261:
+            out |= closed[t]
+    for t, _ in sorted((x for x in order if freq[x[0]] > 0), key=lambda x: -freq[x[0]]):
+        if len(out | closed[t]) <= size:
+            out |= closed[t]
+    while len(out) < size:
+        out |= min((len(closed[t] - out), k, closed[t]) for k, (t, _) in enumerate(order) if t not in out and len(out | closed[t]) <= size)[2]
+    return out
+
+
+def test_vocabulary_queries_take_the_selected_vocabulary(spark, data):
+    vocab = [(r["token"], r["id"]) for r in registry.table(spark, data, "vocab").collect()]
+    merges = [(r["merge_rank"], r["left_token"], r["right_token"]) for r in registry.table(spark, data, "merges").collect()]
+    s = chosen(vocab, merges)
+    assert len(s) == 1000
+    new = {t: k for k, (t, _) in enumerate(sorted((x for x in vocab if x[0] in s), key=lambda x: x[1]))}
+    assert rows_of(run(spark, data, "contiguous_ids")) == sorted((new[t], i, t) for t, i in vocab if t in s)
+    assert rows_of(run(spark, data, "vocab_remap")) == sorted((new.get(t, -1), i) for t, i in vocab)
+    assert rows_of(run(spark, data, "pruned_merges")) == sorted((x, k, y) for k, x, y in merges if {x, y, x + y} <= s)
+    assert rows_of(run(spark, data, "protected_vocab")) == sorted({(x,) for _, x, _ in merges if x in s})
