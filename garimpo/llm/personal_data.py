@@ -1,9 +1,10 @@
 """Problem 7: personal data inside free text, by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs however written, schemes, cues of identifiers and telephones,
-street types and given names. A parser of the anchor's kind expands it in the text around and validates the result:
-hosts of addresses, check digits, house numbers, surnames. Of overlapping finds the earlier kind in ``KINDS`` and then the
-one further left stays. A find may hold a line break, with the comment mark that opens the next line.
+One Aho-Corasick pass over a text finds anchors: at-signs however written, schemes (``tel:``, ``wa.me/``), cues of
+identifiers and telephones, street types, and cues of names (see ``person_names``). A parser of the anchor's kind expands
+it in the text around, as far as its grammar holds (there are no windows), and validates the result: hosts of addresses,
+check digits, house numbers, surnames. Of overlapping finds the earlier kind in ``KINDS`` and then the one further left
+stays. A find may hold a line break, with the comment mark that opens the next line.
 
 Cases: null and empty texts hold nothing and stay as they are. Repeated rows and repeated finds give one row. Empty
 tables give empty results. Other columns are ignored, whatever they are called.
@@ -12,31 +13,20 @@ tables give empty results. Other columns are ignored, whatever they are called.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from garimpo.llm.languages_data import FUNCTION_WORDS, fold
+from garimpo.llm import person_names as N
+from garimpo.llm.languages_data import fold
+from garimpo.llm.person_names import BREAK, GAP
 from garimpo.plans.materialize import spread
 
 KINDS = ("email", "id_number", "phone", "address", "person_name")
 PLACEHOLDERS = {"email": "[EMAIL]", "id_number": "[ID]", "phone": "[PHONE]", "address": "[ADDRESS]", "person_name": "[NAME]"}
 
-# Common given names in Portuguese, Spanish, French and English.
-GIVEN_NAMES = """
-ana andré bruna bruno carla césar claire daniel davi diana edson elisa emily fábio fátima gilberto heitor helena inês
-ivan joana jorge julien laura leandro márcia marcos margaux mateo nádia nelson olívia otávio paula paulo rafael renata
-sérgio sofia sofía sônia teresa thomas tiago vera vítor wagner yara zélia maria joão josé antônio francisco carlos lucas
-luiz luís pedro gabriel marcelo felipe eduardo rodrigo manoel mateus matheus gustavo ricardo fernando roberto alexandre
-adriana juliana aline patrícia camila amanda letícia beatriz larissa vanessa mariana isabel isabela luciana cristina
-raquel simone rosa lúcia alice cecília clara eva lívia lorena manuela miguel arthur bernardo henrique caio vinícius diego
-danilo igor hugo leonardo murilo renato rubens samuel sebastião silvia sílvia tatiana tereza valéria viviane juan luisa
-pablo javier alejandro sergio elena lucía carmen marta irene ignacio ramón jean pierre michel philippe nathalie sophie
-camille chloé antoine nicolas mathieu élise jacques marie louise john james mary robert michael william david richard
-susan linda karen nancy sarah jessica emma olivia oliver george harry jack charlotte grace henry edward
-""".split()
-
 # Street types before the name, and behind it in English.
 STREETS = "rua r. avenida av. av travessa trav. tv. alameda al. praça pça. largo estrada estr. rodovia rod. beco ladeira viela calle plaza".split()
 STREETS_BEHIND = "street st avenue ave road rd lane ln drive boulevard blvd court terrace crescent".split()
@@ -55,24 +45,10 @@ NOT_PHONE = (
     "cnpj", "processo", "protocolo", "lote", "isbn", "serial", "invoice", "part number", "cep", "formulário", "formulario", "build", "barras", "pedido", "versão", "versao", "order", "batch", "ticket", "process", "file", "nota fiscal", "model",
     "cpf", "c.p.f", "rg", "identidade", "ssn", "national id", "id no",
 )
-# Words in front of (or behind) a name that make it the one of a place or an institution.
-PLACES = set(
-    "escola colégio colegio instituto fundação fundacao hospital universidade faculdade rua avenida av praça praca travessa alameda largo estrada rodovia r ponte viaduto museu biblioteca teatro centro creche ginásio ginasio estádio estadio "
-    "parque editora construtora clínica clinica associação associacao igreja auditório auditorio edifício edificio terminal aeroporto escuela fundación fundacion universidad museo calle plaza école ecole fondation lycée lycee université rue "
-    "school college foundation institute university museum library theatre theater bridge park street st ave avenue road lane drive hall airport prize award prêmio premio laboratório laboratorio comércio comercio lojas loja ltda".split()
-)
-PARTICLES = {"da", "de", "do", "das", "dos", "e", "del", "di", "du", "des", "van", "von", "y", "la"}
-STOPS = (
-    {fold(w) for ws in FUNCTION_WORDS.values() for w in ws.split()} | {f"{w}" for w in "pela pelo sobre ontem ayer hier yesterday who which comentou recebeu chegou saiu disse assinou escreveu moradora morador conselheiros left said wrote and laudo relatorio report id cpf rg ssn email mail fone tel cel celular telefone phone end endereco address identidade carteira national data nascimento cep".split()}
-) - PARTICLES
-
-BREAK = r"(?:[ \t\xa0]*\n[ \t]*(?:(?:#+|//+|\*+|--|;+|%+|>+)[ \t]*)?)"
-GAP = rf"(?:[ \t\xa0]+|{BREAK})"
 _D = rf"(?:[ .\-/\xa0]|{BREAK})"
 
 _AT = rf"(?:@|＠|&#64;|{GAP}?[(\[{{<]{GAP}?(?:arroba|at|@){GAP}?[)\]}}>]{GAP}?|{GAP}arroba{GAP}|{GAP}@{GAP})"
 _DOT = rf"(?:\.|{GAP}?[(\[{{<]{GAP}?(?:ponto|dot|punto|point){GAP}?[)\]}}>]{GAP}?|{GAP}(?:ponto|dot){GAP})"
-_LOCAL = re.compile(rf"(?:[^\W_]|[_%+-])(?:[\w.%+'-]|{GAP}?[(\[](?:ponto|dot)[)\]]{GAP}?)*$")
 _HOST = re.compile(rf"{_AT}((?:[^\W_](?:[\w-]{{0,61}}[^\W_])?{_DOT})+[^\W\d_]{{2,24}})(?![\w-]*[\w]@)", re.I)
 _FILES = {"png", "jpg", "jpeg", "gif", "svg", "webp", "css", "js", "py", "pdf", "html", "cached", "json", "zip", "exe", "ico", "mp4", "property", "setter", "wraps"}
 _SEP = re.compile(r"[\s:.,#ºª°\"'(\-*/>=|]|n[ºo°.]|no\.|n\.[ºo]|número|numero|number|nº")
@@ -84,13 +60,15 @@ _PHONE = re.compile(
 )
 _NUMBER = rf"(?:,|{GAP}?[-–])?{GAP}?(?:(?:n\.?[ºo°]?\.?|n[ºo°]|no\.|nº\.?|número|numero|num\.|#){GAP}?)?\d{{1,5}}(?![\w]|[.,/-]\d|[ \xa0]?(?:km|%|metros|m\b|anos|dias|years|days))"
 _NAME_WORD = r"(?:[A-ZÀ-ÖØ-Þ][\w'’ªº-]*\.?|\d{1,2}(?=\s+de\s))"
-_STREET_NAME = re.compile(rf"(?:{GAP}(?:{_NAME_WORD}|d[aeo]s?|d['’][A-ZÀ-Þ]\w+|e|y|del|la|las|los|DA|DE|DO|DAS|DOS)){{1,7}}?{_NUMBER}")
-_STREET_LOWER = re.compile(rf"(?:{GAP}(?!tem\b|foi\b|fica\b|has\b)[^\W\d_][\w'’-]*\.?){{1,6}}?(?:,|{GAP}?[-–])?{GAP}?(?:n\.?[ºo°]\.?|n\.|nº){GAP}?\d{{1,5}}(?!\w)")
-_BEFORE_STREET = re.compile(rf"(?<![\w.,-])\d{{1,5}}(?:{GAP}[A-ZÀ-Þ][\w'’-]*\.?){{1,4}}{GAP}$")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_PART = re.compile(rf"{GAP}((?:d['’])?[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*)(\.(?!\w))?")
-_REVERSED = re.compile(rf"((?:(?:d['’])?[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+)(?:{GAP}(?:d['’])?[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+)?),{GAP}$")
-_LABEL = re.compile(r"(?:nome|name|nom|nombre|por|by|to|com|con|avec|segundo|segundo|según|selon|agradeço a|presentes|att|regards|atenciosamente|abraços|with|réu|autor|autora|ré|assinado|firmado por|present|como|comme|as|for|para|pour|saludos|cordialement|sincerely|was|é|a|from|de)\W*(?:(?:sr|sra|dr|dra|prof|profa|mr|mrs|ms|dona|don|doña)\.?\s+)?[\W]*$", re.I)
+_STREET_NUMBER = re.compile(_NUMBER)
+_STREET_WORD = re.compile(rf"{GAP}(?:{_NAME_WORD}|d[aeo]s?|d['’][A-ZÀ-Þ]\w+|e|y|del|la|las|los|DA|DE|DO|DAS|DOS)")
+# in lower case the number needs its sign
+_LOWER_NUMBER = re.compile(rf"(?:,|{GAP}?[-–])?{GAP}?(?:n\.?[ºo°]\.?|n\.|nº){GAP}?\d{{1,5}}(?!\w)")
+_LOWER_WORD = re.compile(rf"{GAP}(?!tem\b|foi\b|fica\b|has\b)[^\W\d_][\w'’-]*\.?")
+_BEFORE_STREET = re.compile(rf"\d{{1,5}}(?:{GAP}[A-ZÀ-ÖØ-Þ][\w'’-]*\.?)+{GAP}")
+_CLAUSE = re.compile(r"[.;|!?]\s+\w|\n\s+\w")
+_CUT_NUMBER = re.compile(r"0?\d\d-9?\d{4}-\d{4}|\d{3}-\d{3}-\d{4}")
+_SIGNED = re.compile(r"[^\S\n]*\n[ \t#/*]*")
 
 
 def valid_cpf(digits: str) -> bool:
@@ -104,11 +82,6 @@ def valid_cpf(digits: str) -> bool:
     return True
 
 
-@lru_cache(maxsize=1)
-def _given() -> frozenset[str]:
-    return frozenset(f for w in GIVEN_NAMES for f in (w, fold(w)))
-
-
 @lru_cache(maxsize=1)
 def automaton():
     """All anchors, in lower case, with their kinds."""
@@ -121,21 +94,23 @@ def automaton():
             if kind not in kinds.setdefault(k, []):
                 kinds[k].append(kind)
 
-    for k in ("@", "＠", "&#64;", "arroba", "[at]", "(at)", "[ at ]", "( at )"):
+    for k in ("@", "＠", "&#64;", "%40", "arroba", *(f"{a}{b}at{b}{c}" for a, c in ("[]", "()", "{}", "<>") for b in ("", " "))):
         add(k, "email")
     for name, keys in ID_CUES.items():
         for k in keys:
             add(k, "id", name)
     for k in PHONE_CUES:
         add(k, "phone")
+    for k in NOT_PHONE:
+        add(k, "not")
     for k in ("+", "(", *(f"{d}-" for d in range(10))):
         add(k, "digits")
     for k in STREETS:
         add(k, "street")
     for k in STREETS_BEHIND:
         add(k, "behind")
-    for k in GIVEN_NAMES:
-        add(k, "given")
+    for k, kind in N.anchors():
+        add(k, kind)
     a = ahocorasick.Automaton()
     for k, v in kinds.items():
         a.add_word(k, (len(k), tuple(v)))
@@ -154,156 +129,143 @@ def _email(text: str, low: str, start: int) -> tuple[int, int] | None:
     labels = re.split(r"[^\w-]+", m.group(1))
     if labels[-1].lower() in _FILES or labels[0].isdigit():
         return None
-    local = _LOCAL.search(text, max(0, m.start() - 80), m.start())
-    if not local:
-        return None
-    begin = local.start()
-    while begin < m.start() and text[begin] in ".'-":
+    begin = _local_start(text, m.start())
+    while begin < m.start() and text[begin] in ".'- \t\n([":
         begin += 1
     if begin == m.start():
         return None
     return begin, m.end()
 
 
-def _after_cue(text: str, at: int, most: int = 24) -> int:
+def _local_start(text: str, end: int) -> int:
+    """Where the local part that stops at ``end`` begins: back over its characters and written-out dots."""
+    at = end
+    while True:
+        while at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_.%+'-"):
+            at -= 1
+        close = at
+        while close > 0 and text[close - 1] in " \t\xa0\n#*/":
+            close -= 1
+        opened = max(text.rfind("(", max(0, close - 12), close), text.rfind("[", max(0, close - 12), close)) if close and text[close - 1] in ")]" else -1
+        if opened < 0 or text[opened + 1 : close - 1].strip().lower() not in ("ponto", "dot", "punto", "point"):
+            return at
+        while opened > 0 and text[opened - 1] in " \t\xa0\n#*/":
+            opened -= 1
+        at = opened
+
+
+def _after_cue(text: str, at: int) -> int:
     """Position behind the separators that may stand between a cue and its value."""
-    end = min(len(text), at + most)
-    while at < end and (m := _SEP.match(text, at)):
+    while m := _SEP.match(text, at):
         at = m.end()
     return at
 
 
+def _check_letter(value: str) -> bool:
+    """Whether the letter behind a number of the Spanish kind is the one that its digits ask for; others pass."""
+    v = value.replace("-", "").upper()
+    if len(v) == 9 and v[-1].isalpha():
+        digits = {"X": "0", "Y": "1", "Z": "2"}.get(v[0], v[0]) + v[1:-1]
+        return digits.isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == v[-1]
+    return True
+
+
 def _identifier(text: str, end: int, name: str) -> tuple[int, int] | None:
     at = _after_cue(text, end)
     if name == "cpf":
         m = _CPF.match(text, at)
         return (m.start(), m.end()) if m and valid_cpf("".join(c for c in m.group() if c.isdigit())) else None
-    m = (_RG if name == "rg" else _SSN).match(text, at) or (_SSN.match(text, at) if name == "rg" else _RG.match(text, at))
-    return (m.start(), m.end()) if m else None
-
-
-def _phone_in(text: str, low: str, begin: int, end: int) -> tuple[int, int] | None:
-    m = _PHONE.search(text, begin, min(len(text), end + 26))
-    if not m or m.start() > end:
-        return None
-    if sum(c.isdigit() for c in m.group()) > 14:
-        return None
-    before = low[max(0, m.start() - 22) : m.start()]
-    if any((k := before.rfind(x)) >= 0 and not re.search(r"[.;|\n]\s+\w", before[k + len(x) :]) for x in NOT_PHONE):
-        return None
-    return m.start(), m.end()
-
-
-def _street(text: str, end: int) -> tuple[int, int] | None:
-    m = _STREET_NAME.match(text, end) or _STREET_LOWER.match(text, end)
-    return (end, m.end()) if m else None
-
-
-def _is_word(text: str, begin: int, end: int) -> bool:
-    return not (begin > 0 and (text[begin - 1].isalnum() or text[begin - 1] == "_")) and not (end < len(text) and (text[end].isalnum() or text[end] == "_"))
-
-
-def _surnames(text: str, end: int, upper: bool, lower: bool) -> tuple[int, int]:
-    """End of the name that goes on at ``end``, and how many of its words are surnames (no given names, no initials)."""
-    known, n, parts, at = _given(), 0, 0, end
-    pending = end
-    while parts < 6:
-        m = _PART.match(text, pending)
-        if not m:
-            break
-        word, dot = m.group(1), m.group(2)
-        plain = fold(word).lower()
-        if plain in PARTICLES and not dot:
-            nxt = _PART.match(text, m.end())
-            if not nxt or fold(nxt.group(1)).lower() in STOPS or fold(nxt.group(1)).lower() in PARTICLES:
+    first, second = (_RG, _SSN) if name == "rg" else (_SSN, _RG)
+    m = first.match(text, at) or second.match(text, at)
+    return (m.start(), m.end()) if m and _check_letter(m.group()) else None
+
+
+def _phone_at(text: str, at: int) -> tuple[int, int] | None:
+    m = _PHONE.match(text, at)
+    return (m.start(), m.end()) if m and sum(c.isdigit() for c in m.group()) <= 14 else None
+
+
+class _Phones:
+    """Telephones of one text: the first number behind a cue in its clause, unless a cue of other numbers is nearer."""
+
+    def __init__(self, text: str):
+        self.text, self.cues, self._breaks = text, [], None
+        self.reach, self.last = -1, None  # how far the last search went, and what it gave
+
+    @property
+    def breaks(self) -> list[tuple[int, int]]:
+        if self._breaks is None:
+            self._breaks = [m.span() for m in _CLAUSE.finditer(self.text)]
+        return self._breaks
+
+    def after(self, end: int) -> tuple[int, int] | None:
+        """The first number behind a cue that stops at ``end``, within its clause."""
+        if end <= self.reach:
+            return self.last
+        text = self.text
+        k = bisect_left(self.breaks, (end, 0))
+        stop = self.breaks[k][0] if k < len(self.breaks) else len(text)
+        self.reach, self.last, at = stop, None, end
+        while m := _DIGIT.search(text, at, stop + 1):
+            if got := _phone_at(text, m.start()):
+                self.reach, self.last = m.start(), got
                 break
-            if not (nxt.group(1)[:1].isupper() or lower or nxt.group(1)[:2] in ("d'", "d’")):
+            if m.group() in "+(":
+                at = m.end()
+                continue
+            run = _DIGITS.match(text, m.start())
+            at = run.end()
+            if run.end() - run.start() > 2 or not text[at : at + 1].isspace():
+                self.reach = m.start()
                 break
-            pending = m.end()
-            continue
-        if len(word) == 1:
-            if not dot or word.islower() and not lower:
-                break
-            pending = m.end()  # an initial counts only if a name follows
-            continue
-        bare = word[2:] if word[:2].lower() in ("d'", "d’") else word
-        if plain in STOPS or plain in PLACES:
-            break
-        if upper and not bare.isupper() or not lower and not bare[:1].isupper():
-            break
-        if not upper and not lower and bare.isupper() and len(bare) > 1:
-            break
-        stop = m.end() - (1 if dot else 0)
-        parts += 1
-        if plain not in known:
-            n += 1
-        at = pending = stop
-        if dot or n == 2 or lower and n == 2:
-            break
-    return at, n
-
-
-def _outside(text: str, begin: int) -> bool:
-    """Whether no place or institution stands right before ``begin``."""
-    at, steps = begin, 0
-    while steps < 4:
-        head = text[max(0, at - 30) : at]
-        m = re.search(r"([^\W\d_]+)\.?[ \t\xa0\n#*/]+$", head)
-        if not m:
-            return True
-        w = m.group(1)
-        plain = fold(w).lower()
-        if plain in PLACES:
-            return False
-        if not (w[:1].isupper() or plain in PARTICLES):
+        return self.last
+
+    def is_one(self, at: int) -> bool:
+        """Whether the nearest cue before ``at`` in its clause is not one of other numbers."""
+        k = bisect_left(self.cues, (at + 1,)) - 1
+        if k < 0 or self.cues[k][1]:
             return True
-        at = max(0, at - 30) + m.start()
-        steps += 1
-    return True
+        b = bisect_left(self.breaks, (self.cues[k][0], 0))
+        return b < len(self.breaks) and self.breaks[b][1] <= at
 
 
-def _person(text: str, begin: int, end: int) -> tuple[int, int] | None:
-    """A full name around the given name ``text[begin:end]``."""
-    given = text[begin:end]
-    upper, lower = given.isupper(), given.islower()
-    if not (upper or lower or given[:1].isupper() and given[1:].islower()):
-        return None
-    if begin and text[begin - 1] in "@.+-_/" or text[end : end + 1] in ("@", "+", "-", "_") or text[end : end + 1] == "." and text[end + 1 : end + 2].isalnum():
-        return None
-    if lower and not _LABEL.search(text, max(0, begin - 40), begin) and text[max(0, begin - 2) : begin].strip(" \t"):
-        return None
-    stop, n = _surnames(text, end, upper, lower)
-    if n:
-        follow = _WORD.match(text, stop + 1) if text[stop : stop + 1] == " " else None
-        if follow and follow.group()[:1].isupper() and fold(follow.group()).lower() in PLACES:
+_DIGIT = re.compile(r"[\d+(]")
+_DIGITS = re.compile(r"\d+")
+
+
+def _street(text: str, end: int, word: re.Pattern, number: re.Pattern) -> tuple[int, int]:
+    """(end of the address or -1, how far was read) of the street whose type stops at ``end``."""
+    at = end
+    while m := word.match(text, at):
+        at = m.end()
+        if n := number.match(text, at):
+            return n.end(), at
+    return -1, at
+
+
+def _house_before(text: str, begin: int) -> int | None:
+    """Where the house number stands whose street's name goes on to the street type at ``begin``."""
+    at = begin
+    while True:
+        stop = at
+        while stop > 0 and text[stop - 1] in " \t\xa0\n#*/":
+            stop -= 1
+        if stop == at:
             return None
-        return (begin, stop) if _outside(text, begin) else None
-    m = _REVERSED.search(text, max(0, begin - 60), begin)
-    if m:
-        words = [w for w in re.split(rf"{GAP}", m.group(1)) if w]
-        first = m.start(1)
-        # only the words right before the comma that look like surnames
-        while words:
-            ok = True
-            for w in words:
-                plain = fold(w).lower()
-                bare = w[2:] if w[:2].lower() in ("d'", "d’") else w
-                if plain in STOPS or plain in PLACES or plain in _given() or plain in TITLES or len(bare) < 3 or (upper and not bare.isupper()) or (not lower and not bare[:1].isupper()) or (not upper and not lower and bare.isupper()):
-                    ok = False
-                    break
-            if ok:
-                break
-            step = re.match(rf"{re.escape(words[0])}{GAP}?", text[first : m.end(1)])
-            first += step.end() if step else len(words[0])
-            words = words[1:]
-        if words and stop <= end + 3 and first < m.end(1):
-            if text[first - 1 : first] in ("@", ".", "-", "_"):
-                return None
-            return (first, stop) if _outside(text, first) else None
-    return None
+        start = stop - 1 if stop and text[stop - 1] == "." else stop
+        while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "_'’-"):
+            start -= 1
+        word = text[start:stop]
+        if word.isdigit():
+            ok = not (start and text[start - 1] in ".,") and _BEFORE_STREET.fullmatch(text, start, begin)
+            return start if ok else None
+        if not word[:1].isupper():
+            return None
+        at = start
 
 
-TITLES = set("sr sra dr dra prof profa mr mrs ms dona don doña segundo según selon portador presentes regards atenciosamente".split())
+def _is_word(text: str, begin: int, end: int) -> bool:
+    return not (begin > 0 and (text[begin - 1].isalnum() or text[begin - 1] == "_")) and not (end < len(text) and (text[end].isalnum() or text[end] == "_"))
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -312,53 +274,85 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     got: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    phones, cued, cut, no_street, read = _Phones(text), [], [], [(-1, -1), (-1, -1)], 0
     for last, (size, kinds) in automaton().iter(low):
         begin, end = last - size + 1, last + 1
+        is_word = None
         for kind in kinds:
             what = kind[0]
-            if what == "given":
-                if _is_word(text, begin, end) and (x := _person(text, begin, end)):
-                    got["person_name"].append(x)
-            elif what == "email":
+            x = None
+            if what == "email":
                 if x := _email(text, low, begin):
                     got["email"].append(x)
-            elif what == "id":
-                if _is_word(text, begin, end) and (x := _identifier(text, end, kind[1])):
-                    got["id_number"].append(x)
-            elif what == "phone":
-                if (begin == 0 or not low[begin - 1].isalpha()) and (x := _phone_in(text, low, end, end + 24)):
-                    got["phone"].append(x)
-            elif what == "digits":
+                continue
+            if what == "phone":
+                if begin == 0 or not low[begin - 1].isalpha():
+                    phones.cues.append((end, True))
+                    cued.append(end)
+                continue
+            if what == "digits":
                 at = begin if low[begin] in "+(" else begin - 1
                 if low[begin] in "+(":
-                    x = _phone_in(text, low, begin, begin)
+                    x = _phone_at(text, begin)
                 else:
                     while at > 0 and begin - at < 5 and low[at - 1].isdigit():
                         at -= 1
                     at = at if low[at].isdigit() else begin
-                    x = _phone_in(text, low, at, at) if at == 0 or low[at - 1] not in "+()" else None
                     # without a cue, only numbers cut like telephones: area code and two groups
-                    if x and not re.fullmatch(rf"0?\d\d-9?\d{{4}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}}", text[x[0] : x[1]]):
+                    x = _phone_at(text, at) if at == 0 or low[at - 1] not in "+()" else None
+                    if x and not _CUT_NUMBER.fullmatch(text[x[0] : x[1]]):
                         x = None
                 if x:
-                    got["phone"].append(x)
-            elif what == "street":
-                if (begin == 0 or not (text[begin - 1].isalnum() or text[begin - 1] in "_./-@")) and not (low[end : end + 1].isalnum()) and (x := _street(text, end)):
-                    got["address"].append((begin, x[1]))
+                    cut.append(x)
+                continue
+            if what == "street":
+                if (begin == 0 or not (text[begin - 1].isalnum() or text[begin - 1] in "_./-@")) and not low[end : end + 1].isalnum():
+                    for n, (word, number) in enumerate(((_STREET_WORD, _STREET_NUMBER), (_LOWER_WORD, _LOWER_NUMBER))):
+                        if no_street[n][0] < begin < no_street[n][1]:
+                            continue  # what was read from a street type before has no number
+                        stop, reach = _street(text, end, word, number)
+                        if stop > 0:
+                            got["address"].append((begin, stop))
+                            break
+                        no_street[n] = (begin, reach)
+                continue
+            if is_word is None:
+                is_word = _is_word(text, begin, end)
+            if not is_word:
+                continue
+            if what == "not":
+                phones.cues.append((end, False))
+            elif what == "id":
+                if x := _identifier(text, end, kind[1]):
+                    got["id_number"].append(x)
             elif what == "behind":
-                if _is_word(text, begin, end) and (m := _BEFORE_STREET.search(text, max(0, begin - 60), begin)):
-                    got["address"].append((m.start(), end))
+                if (at := _house_before(text, begin)) is not None:
+                    got["address"].append((at, end))
+            else:
+                if what == "given":
+                    if begin < read:
+                        continue  # within the name that an earlier one began
+                    x, read = N.around_given(text, begin, end)
+                else:
+                    x = N.AFTER[what](text, begin, end)
+                if x:
+                    got["person_name"].append(x)
+    phones.cues.sort()
+    got["phone"] = [x for x in (*map(phones.after, cued), *cut) if x and phones.is_one(x[0])]
     # a signature: a line with nothing but a telephone below a name
-    for _, stop in list(got["person_name"]):
-        m = re.compile(rf"[^\S\n]*\n[ \t#/*]*").match(text, stop)
-        if m and (x := _PHONE.match(text, m.end())) and re.match(r"[ \t]*(?:\n|$)", text[x.end() :]):
+    for _, stop in got["person_name"]:
+        m = _SIGNED.match(text, stop)
+        if m and (x := _PHONE.match(text, m.end())) and re.match(r"[ \t]*(?:\n|$)", text[x.end() : x.end() + 80].split("\n")[0] + "\n"):
             got["phone"].append((x.start(), x.end()))
     out: list[tuple[int, int, str]] = []
+    begins: list[int] = []
     for kind in KINDS:
         for b, e in sorted(set(got[kind]), key=lambda x: (x[0], -x[1])):
-            if all(e <= o[0] or b >= o[1] for o in out):
-                out.append((b, e, kind))
-    return sorted(out)
+            k = bisect_left(begins, b)
+            if (k == 0 or out[k - 1][1] <= b) and (k == len(out) or e <= out[k][0]):
+                out.insert(k, (b, e, kind))
+                begins.insert(k, b)
+    return out
 
 
 def redact(text: str, finds: list[tuple[int, int, str]] | None = None) -> str:

@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("garimpo.llm.queries")
 
-from garimpo.llm import languages, leakage, mixing, near_duplicates, personal_data, structure, token_budget, words  # noqa: E402
+from garimpo.llm import languages, leakage, mixing, near_duplicates, person_names, personal_data, structure, token_budget, words  # noqa: E402
 
 RAW = "seq bigint, text string, content string, raw_content string, _source string, source string, is_pt boolean, a string, lead bigint, class_key string"
 PT = "Não há dúvida de que a escola pública da cidade recebeu os livros novos que foram enviados pela prefeitura, e isso também agradou aos pais dos alunos mais jovens."
@@ -384,3 +384,60 @@ def test_queries_run_on_the_tables(spark, data):
 
     for name in ("p1_found", "p3_token_totals", "p5_items", "p6_shares", "p7_found"):
         assert QUERIES[name](spark, data).count() > 0, name
+
+
+NAMES = [
+    ("Agradeço a Ana Pereira Souza Lima pela revisão.", {"Ana Pereira Souza Lima"}),
+    ("Conversei ontem com Evandira Barros Quintela Prado Torres sobre a vaga.", {"Evandira Barros Quintela Prado Torres"}),
+    ("According to Kevin Walsh, the report was late.", {"Kevin Walsh"}),
+    ('{"nome": "fernandira da lima", "email": "x@y.test"}', {"fernandira da lima"}),
+    ("Atenciosamente,\nevandira prado\n11 98765-4321", {"evandira prado"}),
+    ("Nome: PRADO, EVANDIRA | CPF", {"PRADO, EVANDIRA"}),
+    ("Evandira M. Prado comentou há duas horas:", {"Evandira M. Prado"}),
+    ("EVANDIRA PRADO disse que não.\nA Secretaria comentou.", {"EVANDIRA PRADO"}),
+    ("Segundo Dra. Evandira d'Prado, tudo bem. Segundo a equipe, não.", {"Evandira d'Prado"}),
+    ("Segundo a Fundação Evandira Prado, o Banco Central e o Rio Grande subiram.", set()),
+    ("Por Escola Municipal Evandira Prado. Ana Paula chegou com Paulo.", set()),
+    ("segundo dados oficiais, o preço caiu. Por motivos econômicos, parou.", set()),
+    ("SEGUNDO DADOS OFICIAIS, O PREÇO CAIU COM FORÇA MAIOR.", set()),
+    ("Presentes: Evandira Prado e mais quatro conselheiros.", {"Evandira Prado"}),
+    ("Presentes: Evandira Prado, Kevin Walsh e Rui Prado Melo.", {"Evandira Prado"}),
+]
+
+
+@pytest.mark.parametrize("text,want", NAMES)
+def test_names_by_their_cues(text, want):
+    listed = person_names.given_names()
+    assert not {"evandira", "fernandira", "kevin", "rui"} & listed
+    got = {text[b:e] for b, e, k in personal_data.find(text) if k == "person_name"}
+    assert want <= got and not {x for x in got if x not in want and "Prado e" in x}
+    if not want:
+        assert not got
+
+
+def test_anchors_expand_without_windows():
+    local = "a" * 90 + ".b" * 400
+    street = "Avenida " + "das Palmeiras " * 12 + "Velhas, 12"
+    for text, kind, want in [
+        (f"veja {local}@mail.test.", "email", f"{local}@mail.test"),
+        ("bia {at} mail {dot} test", "email", "bia {at} mail {dot} test"),
+        ("bia <at> mail <dot> test", "email", "bia <at> mail <dot> test"),
+        ("CPF" + " " * 60 + ": 529.982.247-25", "id_number", "529.982.247-25"),
+        ("O telefone da secretaria da nossa escola de ensino fundamental e médio é 11 98765-4321", "phone", "11 98765-4321"),
+        (f"Mora na {street}.", "address", street),
+        ("9 " + "Old " * 9 + "Mill Road", "address", "9 " + "Old " * 9 + "Mill Road"),
+        ("DNI 12345678Z", "id_number", "12345678Z"),
+    ]:
+        assert {(k, text[b:e]) for b, e, k in personal_data.find(text)} == {(kind, want)}, text[:60]
+    for text in ("DNI 12345678A", "Protocolo do pedido 6589-2177-1234", "telefone. Lote 11 98765-4321"):
+        assert not personal_data.find(text), text
+    assert personal_data.find("Jorge, recepção: fone 11 98765-4321")[-1][2] == "phone"
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for unit in ("rua RUA Rua ", "ligue número ", "a.b", "nome: por com é ", "(ponto) [at] ", "Ana Paula ", "12-3456-7890 lote ", "disse Rui ", "Dr Dr ", "Dr. ", "Por Rui Melo, ", "Av. Rua "):
+        begin = time.perf_counter()
+        personal_data.find(unit * (60_000 // len(unit)))
+        assert time.perf_counter() - begin < 10, unit
