@@ -1,18 +1,22 @@
 """Problem 4: exact similarity self-join of word-run sets, with skipping on set relations.
 
 A record is the set of its distinct runs of ``run`` consecutive words; two records match if the Jaccard similarity of
-their sets reaches ``threshold``. The join is exact. It skips on two levels:
+their sets reaches ``threshold``. Equal sets are one class. The join is exact and skips on two levels:
 
 * *index level*: runs are ordered by rarity; only the first few runs of a set (enough that two matching sets must share
-  one) are listed. Each run's list is sorted by set size and by the run's position in the set, so that for a probing set
-  whole stretches of the list fall away by size, and by how much the sets can still share behind that position.
-* *answer level*: equal sets are one class. Within a neighbourhood every set is stored as its difference from one highly
-  similar *leader* set, and the overlap of any two sets is derived from what is known about the leader:
-  ``|a & b| = |leader| - |missing_a | missing_b| + |added_a & added_b|``.
-
-Cases: null, empty and short texts (fewer than ``min_words`` words) have no set and appear in no pair and no group.
-Equal texts match whatever their length above ``min_words``. A repeated ``seq`` counts once. Empty tables give empty
-results. Columns other than those named are ignored, whatever they are called.
+  one) are listed. A run's list consists of blocks of entries that have the same set size and the same position of the
+  run. The size bound and the position bound hold for a whole block, so pairs of blocks are skipped without looking at
+  their entries. A list of more than ``most`` entries is not paired at all: two matching classes share at least two runs,
+  so it is split by the second one, over all runs that may follow. What is still longer (many sets that share the same two
+  runs) is cut into parts of ``most`` entries, and each two parts are a task's work of their own.
+* *answer level*: candidates are brought together in neighbourhoods around a *leader* set. Each member of a neighbourhood
+  is compared with the leader once and kept as its difference ``d`` from it. A pair's answer follows from the two members'
+  answers: ``|a ^ b|`` lies between ``||d(a)| - |d(b)||`` and ``|d(a)| + |d(b)|``, which settles most pairs, and is
+  ``|d(a)| + |d(b)| - 2 |d(a) & d(b)|`` otherwise.
+
+A class is named by 63 bits of a hash of its set. Cases: null, empty and short texts (fewer than ``min_words`` words)
+have no set and appear in no pair and no group. Equal texts match whatever their length above ``min_words``. A repeated
+``seq`` counts once. Empty tables give empty results. Columns other than those named are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -83,175 +87,288 @@ def _needed(a, b, t: float):
 
 
 def signatures(docs: DataFrame, run: int = 5, min_words: int = 30, threshold: float = 0.8) -> DataFrame:
-    """(seq, class_key, size, prefix) of each record of ``docs(seq, text)`` that has a set; a written table."""
+    """(seq, class, size, prefix) of each record of ``docs(seq, text)`` that has a set; a written table.
+
+    ``prefix`` holds the runs that are listed, and one more. Of copies met by one task, only the first has it: a group
+    of copies is listed once a task at most.
+    """
     levels = docs.sparkSession.sparkContext.broadcast(_levels(_run_counts(docs, run, min_words)))
 
     def sign(batches):
+        met = set()
         for b in batches:
-            seqs, keys, sizes, pref, at = b.column(0), [], [], [], []
+            keys, sizes, pref, at, first = [], [], [], [], []
             for i, s in _sets(b.column(1).to_pylist(), run, min_words):
-                o = _ordered(s, levels.value)
+                key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
                 at.append(i)
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sizes.append(len(o))
-                pref.append(o[: len(o) - math.ceil(threshold * len(o) - 1e-9) + 1])
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in pref])]).astype(np.int32)
+                keys.append(key)
+                sizes.append(len(s))
+                first.append(key not in met)
+                if first[-1]:
+                    met.add(key)
+                    o = _ordered(s, levels.value)
+                    pref.append(o[: len(o) - math.ceil(threshold * len(o) - 1e-9) + 2])
+                else:
+                    pref.append(np.empty(0, np.uint64))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in pref])]).astype(np.int32), mask=np.r_[~np.array(first, bool), False])
             flat = np.concatenate(pref).view(np.int64) if pref else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [seqs.take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["seq", "class_key", "size", "prefix"],
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["seq", "class", "size", "prefix"]
             )
 
-    return materialize(docs.select("seq", "text").mapInArrow(sign, "seq bigint, class_key binary, size int, prefix array<bigint>"), "signatures")
-
-
-def classes(sigs: DataFrame) -> DataFrame:
-    """(class_key, rep, size, prefix, copies): one row per distinct set, pre-aggregated before its shuffle."""
-    return sigs.groupBy("class_key").agg(F.min("seq").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
-
-
-def _candidates(threshold: float):
-    """Pairs of each run's list, which arrive sorted by run, set size and position."""
-
-    def pairs_of(tok, rep, size, pos):
-        n = len(tok)
-        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if n else np.empty(0, np.int64)
-        lens = np.diff(np.r_[start, n])
-        end = np.repeat(start + lens, lens)  # where each entry's list ends
-        # smaller sets only need to be found by their shorter index prefix
-        active = np.flatnonzero((end - np.arange(n) > 1) & (pos <= size - _needed(size, size, threshold)))
-        k, out = 1, []
-        while len(active):
-            j = active + k
-            keep = j < end[active]
-            keep[keep] = size[active[keep]] >= threshold * size[j[keep]] - 1e-9  # sizes rise: the rest of the list falls away too
-            active, j = active[keep], j[keep]
-            bound = 1 + np.minimum(size[active] - pos[active], size[j] - pos[j]) - 1
-            ok = (bound >= _needed(size[active], size[j], threshold)) & (rep[active] != rep[j])
-            if ok.any():
-                a, b = rep[active[ok]], rep[j[ok]]
-                out.append((np.minimum(a, b), np.maximum(a, b)))
-            k += 1
-            if sum(len(x[0]) for x in out) > 500_000:
-                yield np.unique(np.stack([np.concatenate(x) for x in zip(*out)]), axis=1)
-                out = []
-        if out:
-            yield np.unique(np.stack([np.concatenate(x) for x in zip(*out)]), axis=1)
+    return materialize(docs.select("seq", "text").mapInArrow(sign, "seq bigint, class bigint, size int, prefix array<bigint>"), "signatures")
+
+
+def _block_pairs(key: np.ndarray, size: np.ndarray, pos: np.ndarray, threshold: float):
+    """(first block, second block) of all pairs of blocks of one list that may hold matches, a block with itself included.
+
+    Entries arrive sorted by (key, size, pos); a block's bounds are those of each of its entries.
+    """
+    n = len(key)
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    lens = np.diff(np.r_[start, n])
+    end = np.repeat(start + lens, lens)
+    # smaller sets only need to be found by their shorter index prefix
+    active = np.flatnonzero(pos <= size - _needed(size, size, threshold))
+    k = 0
+    while len(active):
+        j = active + k
+        keep = j < end[active]
+        keep[keep] = size[active[keep]] >= threshold * size[j[keep]] - 1e-9  # sizes rise: the rest of the list falls away too
+        active, j = active[keep], j[keep]
+        ok = np.minimum(size[active] - pos[active], size[j] - pos[j]) >= _needed(size[active], size[j], threshold)
+        if ok.any():
+            yield active[ok], j[ok]
+        k += 1
+
+
+def _pairs_of_lists(cols: list[np.ndarray], threshold: float, most_out: int = 500_000):
+    """Candidate pairs (a < b) of lists whose entries (key, class, size, pos) are sorted by key, size and pos."""
+    key, cls, size, pos = cols
+    if not len(key):
+        return
+    new = np.r_[True, (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (pos[1:] != pos[:-1])]
+    at = np.flatnonzero(new)
+    length = np.diff(np.r_[at, len(key)])
+    out, held = [], 0
+    for i, j in _block_pairs(key[at], size[at], pos[at], threshold):
+        total = length[i] * length[j]
+        for lo, hi in _spans(total, most_out):
+            m, each = total[lo:hi], length[j[lo:hi]]
+            if not m.sum():
+                continue
+            inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            wide = np.repeat(each, m)
+            x, y = cls[np.repeat(at[i[lo:hi]], m) + inner // wide], cls[np.repeat(at[j[lo:hi]], m) + inner % wide]
+            ok = np.where(np.repeat(i[lo:hi] == j[lo:hi], m), inner // wide < inner % wide, True) & (x != y)
+            out.append(np.stack([np.minimum(x, y)[ok], np.maximum(x, y)[ok]]))
+            held += out[-1].shape[1]
+            if held > most_out:
+                yield _distinct(list(np.concatenate(out, axis=1)))
+                out, held = [], 0
+    if held:
+        yield _distinct(list(np.concatenate(out, axis=1)))
+
+
+def _spans(total: np.ndarray, most: int):
+    """Stretches whose sums stay near ``most``."""
+    if not len(total):
+        return
+    cut = np.flatnonzero(np.diff(np.cumsum(total) // most, prepend=0)) + 1
+    edges = np.unique(np.r_[0, cut, len(total)])
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist())
+
+
+def _candidates(threshold: float, most: int | None):
+    """Pairs of each list. Lists arrive sorted by (key, part), size and position; one of more than ``most`` distinct
+    entries gives its key (and no second end) instead, and what follows of it is not kept."""
 
     def run(batches):
         rest = None
+        hot = None  # key of the long list being passed over
+
+        def emit(p):
+            return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+
+        def settle(cols):
+            """Pairs of whole lists."""
+            cols = _distinct(cols)
+            longs = np.empty(0, np.int64)
+            if most is not None and len(cols[0]):
+                keys, n = np.unique(cols[0], return_counts=True)
+                longs = keys[n > most]
+                if len(longs):
+                    keep = ~np.isin(cols[0], longs)
+                    cols = [c[keep] for c in cols]
+            for p in _pairs_of_lists(cols, threshold):
+                yield emit(p)
+            if len(longs):
+                yield pa.RecordBatch.from_arrays([pa.array(longs), pa.nulls(len(longs), pa.int64())], ["a", "b"])
+
         for b in batches:
             cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if not len(cols[0]):
+                continue
+            if hot is not None:
+                first = int(np.searchsorted(cols[0], hot, side="right"))
+                cols = [c[first:] for c in cols]
+                if not len(cols[0]):
+                    continue
+                hot = None
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
-            tok = cols[0]
-            cut = int(np.searchsorted(tok, tok[-1])) if len(tok) else 0  # the last run's list may go on
-            rest = [c[cut:] for c in cols]
-            for p in pairs_of(*[c[:cut] for c in cols]):
-                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on
+            yield from settle([c[:cut] for c in cols])
+            rest = _distinct([c[cut:] for c in cols])
+            if most is not None and len(rest[0]) > most:
+                hot = rest[0][0]
+                yield pa.RecordBatch.from_arrays([pa.array([hot]), pa.nulls(1, pa.int64())], ["a", "b"])
+                rest = None
         if rest is not None:
-            for p in pairs_of(*rest):
-                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+            yield from settle(rest)
 
     return run
 
 
-def candidate_pairs(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Distinct pairs (a < b) of class representatives that may match; a written table."""
-    lists = reps.select(F.posexplode("prefix").alias("pos", "tok"), "rep", "size").select("tok", "rep", F.col("size").cast("bigint").alias("size"), F.col("pos").cast("bigint").alias("pos"))
-    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = lists.repartition(parts, "tok").sortWithinPartitions("tok", "size", "pos").mapInArrow(_candidates(threshold), "a bigint, b bigint")
-    return materialize(found.distinct(), "candidates")
-
-
-def _verify_one(ids: np.ndarray, raw: list, a: np.ndarray, b: np.ndarray, threshold: float):
-    """All pairs of one neighbourhood. Sets are kept as differences from the leader, the smallest id."""
-    leader = np.frombuffer(raw[0], np.uint64)
-    held, added, sizes = np.zeros((len(ids), len(leader)), bool), [], np.zeros(len(ids), np.int64)
-    for n, x in enumerate(raw):
-        s = np.frombuffer(x, np.uint64)
-        at = np.minimum(np.searchsorted(leader, s), len(leader) - 1)
-        same = leader[at] == s
-        held[n, at[same]] = True
-        added.append(s[~same])
-        sizes[n] = len(s)
-    packed = np.packbits(held, axis=1)
-    ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
-    both = np.concatenate([np.bitwise_count(packed[ia[i : i + 50_000]] & packed[ib[i : i + 50_000]]).sum(axis=1, dtype=np.int64) for i in range(0, len(ia), 50_000)])
-    least = _needed(sizes[ia], sizes[ib], threshold)
-    # what the leader's answers leave open is settled by the few runs that it lacks
-    n_added = np.array([len(x) for x in added])
-    for i in np.flatnonzero((both + np.minimum(n_added[ia], n_added[ib]) >= least) & (n_added[ia] > 0) & (n_added[ib] > 0)):
-        both[i] += len(np.intersect1d(added[ia[i]], added[ib[i]], assume_unique=True))
-    keep = both >= least
-    return a[keep], b[keep], (both / (sizes[ia] + sizes[ib] - both))[keep]
+def _distinct(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows without repeats, sorted by their columns; entries (key, class, size, pos) by key, size and pos."""
+    if len(cols[0]) < 2:
+        return cols
+    order = np.lexsort((cols[1], cols[3], cols[2], cols[0]) if len(cols) == 4 else cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]
+    return [c[new] for c in cols]
 
 
-def _verify(threshold: float):
-    """Neighbourhoods arrive one after the other, each with its sets first (by id) and then its pairs."""
+_ENTRY = "a bigint, b bigint"
 
-    def run(batches):
-        key, ids, raw, a, b = None, [], [], [], []
-        out = ([], [], [])
 
-        def settle():
+def _listing(sigs: DataFrame, threshold: float) -> DataFrame:
+    """(tok, class, size, pos) of the listed runs; what a prefix holds beyond them is not listed."""
+    n = F.least(F.size("prefix"), F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)).cast("int") + 1)
+    return sigs.filter("prefix is not null").select(F.posexplode(F.slice("prefix", F.lit(1), n)).alias("pos", "tok"), "class", "size").select(
+        "tok", "class", F.col("size").cast("bigint").alias("size"), F.col("pos").cast("bigint").alias("pos")
+    )
+
+
+def candidate_pairs(sigs: DataFrame, threshold: float = 0.8, most: int = 1024) -> DataFrame:
+    """Distinct pairs (a < b) of classes that may match; a written table."""
+    parts = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = _listing(sigs, threshold)
+    split = threshold > 0.5  # else two matching classes may share a single run
+    found = materialize(lists.repartition(parts, "tok").sortWithinPartitions("tok", "size", "pos").mapInArrow(_candidates(threshold, most), _ENTRY), "found")
+    pairs = found.filter("b is not null")
+    long = found.filter("b is null").select(F.col("a").alias("tok")).distinct()
+    if long.limit(1).count():
+        hits = lists.join(long, "tok").select("class", "size", "pos", "tok")
+        if split:
+            # the entry once for each run that may be the second shared one
+            tails = sigs.filter("prefix is not null").groupBy("class").agg(F.first("prefix").alias("prefix"))
+            after = F.explode(F.slice("prefix", (F.col("pos") + 2).cast("int"), F.size("prefix")))
+            second = hits.distinct().join(tails, "class").select("tok", after.alias("second"), "class", "size", "pos").select(F.xxhash64("tok", "second").alias("tok"), "class", "size", "pos")
+            # a repeated second run keeps the position of the first, which bounds what can still be shared
+            hits = materialize(second, "seconds")
+            again = hits.repartition(parts, "tok").sortWithinPartitions("tok", "size", "pos").mapInArrow(_candidates(threshold, most), _ENTRY)
+            again = materialize(again, "found")
+            pairs = pairs.unionByName(again.filter("b is not null"))
+            long = again.filter("b is null").select(F.col("a").alias("tok")).distinct()
+            hits = hits.join(long, "tok")
+        # each two parts of a list are put together somewhere; parts are cut by the class
+        hits = hits.distinct()
+        n = hits.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("n"))
+        part = hits.join(n, "tok").withColumn("p", F.pmod(F.xxhash64("class"), F.col("n")).cast("int"))
+        spread_out = part.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
+            F.xxhash64("tok", F.least("p", "q"), F.greatest("p", "q")).alias("tok"), "class", "size", "pos"
+        )
+        pairs = pairs.unionByName(spread_out.repartition(parts, "tok").sortWithinPartitions("tok", "size", "pos").mapInArrow(_candidates(threshold, None), _ENTRY))
+    return materialize(pairs.distinct(), "candidates")
+
+
+def _verify_one(ids: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float, most: int = 2_000_000):
+    """Matching pairs of one neighbourhood, whose first set is the leader's."""
+    leader = sets[0]
+    diff = [np.setxor1d(leader, s, assume_unique=True) for s in sets]
+    sizes, n = np.array([len(s) for s in sets]), np.array([len(d) for d in diff])
+    ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    most_apart = sizes[ia] + sizes[ib] - 2 * _needed(sizes[ia], sizes[ib], threshold)
+    keep = n[ia] + n[ib] <= most_apart
+    open_ = np.flatnonzero(~keep & (np.abs(n[ia] - n[ib]) <= most_apart))
+    for lo, hi in _spans(n[ia[open_]] + n[ib[open_]], most):
+        k = open_[lo:hi]
+        if not len(k):
+            continue
+        # what two differences share occurs twice under the pair's number
+        both = np.concatenate([x for p in k.tolist() for x in (diff[ia[p]], diff[ib[p]])])
+        pair = np.repeat(np.arange(len(k)), n[ia[k]] + n[ib[k]])
+        order = np.lexsort((both, pair))
+        both, pair = both[order], pair[order]
+        twice = (both[1:] == both[:-1]) & (pair[1:] == pair[:-1])
+        shared = np.bincount(pair[1:][twice], minlength=len(k))
+        keep[k] = n[ia[k]] + n[ib[k]] - 2 * shared <= most_apart[k]
+    return a[keep], b[keep]
+
+
+def _verify(run: int, min_words: int, threshold: float):
+    """Neighbourhoods arrive one after the other, each with its texts first (leader ahead) and then its pairs."""
+
+    def run_(batches):
+        key, ids, sets, a, b = None, [], [], [], []
+        out = ([], [])
+
+        def close():
             if a:
-                for o, x in zip(out, _verify_one(np.array(ids, np.int64), raw, np.array(a, np.int64), np.array(b, np.int64), threshold)):
+                for o, x in zip(out, _verify_one(np.array(ids, np.int64), sets, np.array(a, np.int64), np.array(b, np.int64), threshold)):
                     o.append(x)
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["a", "b", "similarity"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["a", "b"])
 
         for rows in batches:
-            lead, salt, end, first, second, runs = (rows.column(i) for i in range(6))
-            for k in zip(lead.to_pylist(), salt.to_pylist(), end.to_pylist(), first.to_pylist(), second.to_pylist(), runs.to_pylist()):
-                if (k[0], k[1]) != key:
-                    settle()
-                    key, ids, raw, a, b = (k[0], k[1]), [], [], [], []
-                if k[2]:
-                    a.append(k[3])
-                    b.append(k[4])
-                else:
-                    ids.append(k[3])
-                    raw.append(k[5])
+            lead, salt, end, first, second = (rows.column(i).to_pylist() for i in range(5))
+            texts = rows.column(5).to_pylist()
+            own = dict(_sets(texts, run, min_words))
+            for i, k in enumerate(zip(lead, salt)):
+                if k != key:
+                    close()
+                    key, ids, sets, a, b = k, [], [], [], []
+                if end[i]:
+                    a.append(first[i])
+                    b.append(second[i])
+                elif i in own:
+                    ids.append(first[i])
+                    sets.append(own[i])
             if sum(map(len, out[0])) > 200_000:
                 yield batch()
-                out = ([], [], [])
-        settle()
+                out = ([], [])
+        close()
         if out[0]:
             yield batch()
 
-    return run
+    return run_
 
 
-def class_links(docs: DataFrame, sigs: DataFrame, run: int = 5, min_words: int = 30, threshold: float = 0.8, most: int = 200_000) -> DataFrame:
-    """(a, b, similarity): all matching pairs of class representatives; a written table.
+def class_links(docs: DataFrame, sigs: DataFrame, run: int = 5, min_words: int = 30, threshold: float = 0.8, most: int = 20_000) -> DataFrame:
+    """(a, b): all matching pairs of classes, a < b; a written table.
 
-    A neighbourhood with more than ``most`` candidate pairs is split over several tasks, each with the sets it needs.
+    A neighbourhood's leader is its smallest class. One with more than ``most`` candidate pairs is split over several
+    tasks, each with the texts it needs.
     """
-    pairs = candidate_pairs(classes(sigs), threshold)
+    pairs = candidate_pairs(sigs, threshold)
     ends = pairs.select(F.col("a").alias("id"), F.col("a").alias("near")).union(pairs.select(F.col("b"), F.col("a")))
     leads = ends.groupBy("id").agg(F.min("near").alias("lead"))
     led = pairs.join(leads.withColumnsRenamed({"id": "a", "lead": "la"}), "a").join(leads.withColumnsRenamed({"id": "b", "lead": "lb"}), "b").select("a", "b", F.least("la", "lb").alias("lead"))
     n = led.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("splits"))
     routed = materialize(led.join(n, "lead").select("a", "b", "lead", F.pmod(F.xxhash64("a", "b"), "splits").cast("int").alias("salt")), "routed")
     wanted = routed.select("lead", "salt", F.explode(F.array("a", "b", "lead")).alias("id")).distinct()
-
-    def runs(batches):
-        for b in batches:
-            at, out = [], []
-            for i, s in _sets(b.column(1).to_pylist(), run, min_words):
-                at.append(i)
-                out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.binary())], ["id", "runs"])
-
-    ids = wanted.select("id").distinct()
-    held = docs.select(F.col("seq").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(runs, "id bigint, runs binary")
-    sets = wanted.join(held, "id").select("lead", "salt", F.lit(False).alias("is_pair"), F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "runs")
-    both = sets.unionByName(routed.select("lead", "salt", F.lit(True).alias("is_pair"), "a", "b", F.lit(None).cast("binary").alias("runs")))
+    # one text of each wanted class
+    one = sigs.groupBy("class").agg(F.min("seq").alias("seq")).withColumnRenamed("class", "id")
+    wanted = wanted.join(one, "id")
+    held = docs.select("seq", "text").join(wanted.select("seq").distinct(), "seq", "left_semi").dropDuplicates(["seq"])
+    texts = wanted.join(held, "seq").select("lead", "salt", F.lit(False).alias("is_pair"), F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    both = texts.unionByName(routed.select("lead", "salt", F.lit(True).alias("is_pair"), "a", "b", F.lit(None).cast("string").alias("text")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = both.repartition(parts, "lead", "salt").sortWithinPartitions("lead", "salt", "is_pair", "a")
-    links = ordered.mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double")
+    links = ordered.mapInArrow(_verify(run, min_words, threshold), "a bigint, b bigint")
     return materialize(links, "links")
 
 
@@ -259,37 +376,53 @@ def _docs(raw: DataFrame) -> DataFrame:
     return spread(raw.select("seq", effective_text(raw).alias("text")))
 
 
-def near_duplicate_pairs(raw: DataFrame, run: int = 5, min_words: int = 30, threshold: float = 0.8) -> DataFrame:
-    """(seq_a, seq_b), seq_a < seq_b: every pair of records whose sets of word runs have similarity ``threshold`` or more."""
+def _members(links: DataFrame, member: DataFrame, end: str, out: str, most: int) -> DataFrame:
+    """``links`` with the class in column ``end`` replaced by each of its records, as ``out``.
+
+    A class of more than ``most`` records is cut into parts, each joined on its own.
+    """
+    n = member.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("n"))
+    cut = member.join(n, "class").select(F.col("class").alias(end), F.pmod(F.xxhash64("seq"), F.col("n")).cast("int").alias("part"), F.col("seq").alias(out))
+    wide = links.join(n.withColumnRenamed("class", end), end).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    return wide.join(cut, [end, "part"]).drop(end, "part")
+
+
+def near_duplicate_pairs(raw: DataFrame, run: int = 5, min_words: int = 30, threshold: float = 0.8, most: int = 1000) -> DataFrame:
+    """(seq_a, seq_b), seq_a < seq_b: every pair of records whose sets of word runs have similarity ``threshold`` or more.
+
+    Pairs are listed from the links of classes, and of each class with itself if it has several records.
+    """
     docs = _docs(raw)
     sigs = signatures(docs, run, min_words, threshold)
-    member = sigs.select("class_key", "seq").distinct()
-    links = class_links(docs, sigs, run, min_words, threshold)
-    of = member.join(member.groupBy("class_key").agg(F.min("seq").alias("rep"), F.count(F.lit(1)).alias("copies")), "class_key")
-    left, right = of.select(F.col("rep").alias("a"), F.col("seq").alias("x")), of.select(F.col("rep").alias("b"), F.col("seq").alias("y"))
-    across = links.select("a", "b").join(left, "a").join(right, "b").select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b"))
-    more = of.filter("copies > 1").select("rep", "seq")
-    within = more.withColumnRenamed("seq", "seq_a").join(more.withColumnRenamed("seq", "seq_b"), "rep").filter("seq_a < seq_b").select("seq_a", "seq_b")
-    return across.unionByName(within)
+    member = materialize(sigs.select("class", "seq").distinct(), "members")
+    links = class_links(docs, sigs, run, min_words, threshold).select("a", "b")
+    own = member.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
+    both = links.withColumn("same", F.lit(False)).unionByName(own.withColumn("same", F.lit(True)))
+    wide = _members(_members(both, member, "a", "x", most), member, "b", "y", most)
+    return wide.filter("not same or x < y").select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b"))
 
 
 def near_duplicate_groups(raw: DataFrame, run: int = 5, min_words: int = 30, threshold: float = 0.8, rounds: int = 60) -> DataFrame:
     """(seq, class_id, group_id, links): each record with a set, its class of equal sets, its group and its class's links.
 
-    A group is a connected component of matching classes, named by its smallest ``seq``; found by repeated
-    label lowering and pointer jumping over written tables, in a number of rounds logarithmic in the longest chain.
+    A group is a connected component of matching classes; it and a class are named by their smallest ``seq``. Components
+    are found by repeated label lowering and pointer jumping over written tables, in a number of rounds logarithmic in
+    the longest chain.
     """
     docs = _docs(raw)
     sigs = signatures(docs, run, min_words, threshold)
     links = class_links(docs, sigs, run, min_words, threshold)
-    group = components(links.select("a", "b"), rounds)
-    both = links.select(F.col("a").alias("class_id")).union(links.select("b")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    member = sigs.select("class_key", "seq").distinct().join(sigs.groupBy("class_key").agg(F.min("seq").alias("class_id")), "class_key").select("seq", "class_id")
+    name = materialize(sigs.groupBy("class").agg(F.min("seq").alias("class_id")), "names")
+    named = links.join(name.withColumnsRenamed({"class": "a", "class_id": "x"}), "a").join(name.withColumnsRenamed({"class": "b", "class_id": "y"}), "b")
+    named = materialize(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "links")
+    group = components(named, rounds)
+    both = named.select(F.col("a").alias("class_id")).union(named.select("b")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     return (
-        member.join(group.withColumnsRenamed({"id": "class_id", "component": "group_id"}), "class_id", "left")
+        sigs.select("class", "seq").distinct().join(name, "class").select("seq", "class_id")
+        .join(group.withColumnsRenamed({"id": "class_id", "component": "group_id"}), "class_id", "left")
         .join(both, "class_id", "left")
         .select("seq", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    )
+    )
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

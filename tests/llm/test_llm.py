@@ -107,6 +107,36 @@ def test_near_duplicate_neighbourhoods_may_be_split(spark):
     assert set(map(tuple, one)) == set(map(tuple, split)) and len(split) == len(set(split))
 
 
+@pytest.mark.parametrize("most", [2, 5])
+def test_long_lists_are_split_without_loss(spark, most):
+    texts = near_texts()
+    sigs = near_duplicates.signatures(near_duplicates._docs(raw(spark, texts)))
+    whole = set(map(tuple, near_duplicates.candidate_pairs(sigs, most=10_000).collect()))
+    split = near_duplicates.candidate_pairs(sigs, most=most).collect()
+    of = {r["seq"]: r["class"] for r in sigs.collect()}
+    want = {tuple(sorted((of[a], of[b]))) for a, b in brute_pairs(texts) if of[a] != of[b]}
+    assert want <= set(map(tuple, split)) and want <= whole and len(split) == len(set(split))
+
+
+def test_a_run_of_thousands_of_sets_is_quick(spark):
+    import time
+
+    # one run in the prefix of 8,000 equally large sets that share nothing else
+    rng = np.random.default_rng(1)
+    rows = [(i, i, 100, [7, *map(int, rng.integers(1 << 40, 1 << 60, 21))]) for i in range(8000)]
+    rows += [(9000 + i, 9000 + i, 100, [7, *range(100, 121)]) for i in range(30)]
+    sigs = spark.createDataFrame(rows, "seq bigint, class bigint, size int, prefix array<bigint>").repartition(8)
+    begin = time.perf_counter()
+    got = near_duplicates.candidate_pairs(sigs).collect()
+    assert len(got) == 30 * 29 // 2 and time.perf_counter() - begin < 60
+
+
+def test_pairs_of_large_classes_are_complete(spark):
+    texts = near_texts()
+    whole = near_duplicates.near_duplicate_pairs(raw(spark, texts), most=2).collect()
+    assert {tuple(r) for r in whole} == brute_pairs(texts) and len(whole) == len(set(whole))
+
+
 def test_near_duplicate_groups_are_components(spark):
     texts = near_texts()
     got = near_duplicates.near_duplicate_groups(raw(spark, texts)).collect()
