@@ -3,9 +3,11 @@
 A word is the mean of the embeddings of its hashed subwords (character n-grams and the whole word), a text the mean of
 its words, and a linear softmax on top gives the language. Embeddings and softmax are trained together by stochastic
 gradient descent in numpy, on a bounded sample of lines (``sample_rows`` records, chosen by hash) that
-their function words label beyond doubt. A held-out tenth of those lines calibrates the softmax by a temperature
-and sets the confidence below which a text is rejected (language ``und``): the lowest at which at most ``max_error`` of
-the accepted held-out lines are wrong, but at least ``MIN_CONFIDENCE``.
+their function words label beyond doubt. A held-out tenth of those lines calibrates the softmax by a temperature, and sets the confidence below which a
+text is rejected (language ``und``). As short texts are less certain than long ones, that is done for each class of
+lengths (1, 2-3, 4-7, ... words), for lines and for records of several lines: the threshold is the lowest confidence of a
+held-out text of that length or shorter at which at most ``max_error`` of the accepted ones are wrong. Nothing less certain than
+what was held out is accepted.
 
 As both layers are linear, a word's scores can be remembered; every word of every text counts. A line's words are
 scored with their neighbours, and the line has the language of most of its words.
@@ -32,7 +34,7 @@ from garimpo.plans.materialize import spread
 BUCKETS = 1 << 15
 DIM = 16
 NEAR = 3  # words on either side that a word is scored with
-MIN_CONFIDENCE = 0.5
+LENGTHS = 7  # classes of lengths: powers of two, the last one open
 VOWELS = frozenset("aeioyàáéèêíóôú")
 
 
@@ -40,7 +42,7 @@ def subwords(word: str) -> list[int]:
     """Buckets of the word's character n-grams (2 to 4, with edges) and of the word itself."""
     w = f"<{word}>"
     crc = zlib.crc32
-    grams = [w] + [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)] if len(word) <= 40 else [w]
+    grams = [w] + [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
     return [crc(g.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for g in grams]
 
 
@@ -50,8 +52,8 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
-    reject: float
-    held_out: float
+    reject: np.ndarray  # thresholds of lines and of records, by class of lengths
+    held_out: np.ndarray  # share of right answers among the held-out texts, likewise
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Scores of each word; a text's scores are the mean over its words."""
@@ -143,26 +145,54 @@ def train(texts: list[str], epochs: int = 6, rate: float = 1.0, batch: int = 128
             wts -= lr * (v.T @ p) / len(take) * 4
             bias -= lr * p.mean(axis=0)
             np.add.at(emb, g, (-lr * 8) * (dv[owner] * part[:, None]).astype(np.float32))
-    model = Model(emb.astype(np.float64), wts.astype(np.float64), bias.astype(np.float64), 1.0, MIN_CONFIDENCE, 1.0)
+    model = Model(emb.astype(np.float64), wts.astype(np.float64), bias.astype(np.float64), 1.0, np.ones((2, LENGTHS)), np.zeros((2, LENGTHS)))
     if held:
-        # calibrated on fragments of 1 to 8 words: whole lines are hardly ever wrong
+        held_words = list(vocab)
         fragments = [f for i in range(held) if len(f := ids[i][(at := int(rng.integers(0, len(ids[i])))) : at + int(rng.integers(1, 9))])]
-        ids, y = fragments, y[:held]
-        held = len(ids)
-        v, *_ = vectors(np.arange(held))
+        ids, y_short = [*fragments, *ids[:held]], np.r_[y[:held], y[:held]]
+        v, *_ = vectors(np.arange(len(fragments)))
         z = v @ wts + bias
-        best = min((float(-np.log(np.maximum(softmax(z / t)[np.arange(held), y[:held]], 1e-12)).mean()), t) for t in np.geomspace(0.1, 10, 41))
-        model.temperature = best[1]
-        p = softmax(z / best[1])
-        conf, right = p.max(axis=1), p.argmax(axis=1) == y[:held]
-        rank = np.argsort(-conf)
-        wrong = np.cumsum(~right[rank]) / np.arange(1, held + 1)
-        ok = np.flatnonzero(wrong <= max_error)
-        model.reject = max(MIN_CONFIDENCE, float(conf[rank[ok[-1]]]) if len(ok) else 1.0)
-        model.held_out = float(right.mean())
+        model.temperature = min((float(-np.log(np.maximum(softmax(z / t)[np.arange(held), y_short[:held]], 1e-12)).mean()), t) for t in np.geomspace(0.1, 10, 41))[1]
+        lines = [[held_words[k] for k in x] for x in ids[len(fragments) :]]
+        calibrate(model, lines, y[:held], max_error, rng)
     return model
 
 
+def length_class(words: np.ndarray) -> np.ndarray:
+    """0 for a single word, then one class more with each doubling."""
+    return np.clip(np.floor(np.log2(np.maximum(words, 1))).astype(np.int64), 0, LENGTHS - 1)
+
+
+def calibrate(model: Model, lines: list[list[str]], y: np.ndarray, max_error: float, rng: np.random.Generator, texts: int = 600) -> None:
+    """Set the thresholds from texts of each length cut out of held-out lines, read as all texts are."""
+    reader = Reader(model)
+    by = [np.flatnonzero(y == k) for k in range(len(LANGUAGES))]
+    for several in (0, 1):
+        for c in range(LENGTHS):
+            made, label = [], []
+            for i in rng.integers(0, len(y), texts):
+                n, parts, held = int(rng.integers(1 << c, 2 << c)), [lines[i]], len(lines[i])
+                while held < n:
+                    parts.append(lines[int(rng.choice(by[y[i]]))])
+                    held += len(parts[-1])
+                cut = int(rng.integers(0, held - n + 1)) if len(parts) == 1 else 0
+                parts[0] = parts[0][cut:]
+                parts[-1] = parts[-1][: len(parts[-1]) - max(0, held - cut - n)]
+                made.append(("\n" if several else " ").join(" ".join(p) for p in parts if p))
+                label.append(y[i])
+            read = reader.lines(made)
+            _, votes = _by_record(read, len(made))
+            best, conf = _record_confidence(reader, read, votes)
+            right = best == np.array(label)
+            rank = np.argsort(-conf, kind="stable")
+            wrong = np.cumsum(~right[rank]) / np.arange(1, len(rank) + 1)
+            ok = np.flatnonzero(wrong <= max_error)
+            model.reject[several, c] = conf[rank[ok[-1]]] if len(ok) else 1.0
+            model.held_out[several, c] = right.mean()
+        # the same mean confidence over more words is no less certain
+        model.reject[several] = np.minimum.accumulate(model.reject[several])
+
+
 def fit(docs: DataFrame, sample_rows: int = 3000, **options) -> Model | None:
     """Train on up to ``sample_rows`` records of ``docs(seq, text)``, those whose hashes are below a bound.
 
@@ -248,13 +278,17 @@ class Reader:
         p = softmax(scores / n / self.model.temperature)[np.arange(len(scores)), best]
         return np.where(votes.sum(axis=1) > 0, p, 0.0)
 
-    def languages(self, votes: np.ndarray, scores: np.ndarray, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Language of most of the words (-1 below confidence ``least``, by default the calibrated one) and its confidence."""
+    def languages(self, votes: np.ndarray, scores: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language of most of the words of each line (-1 where rejected) and its confidence."""
         best = votes.argmax(axis=1)
         conf = self.confidence(scores, votes, best)
-        if least is None:
-            least = self.model.reject if self.model is not None else 1.0
-        return np.where((conf >= least) & (votes.sum(axis=1) > 0), best, -1), conf
+        return np.where(self.accepts(conf, votes, words, 0), best, -1), conf
+
+    def accepts(self, conf: np.ndarray, votes: np.ndarray, words: np.ndarray, several: int) -> np.ndarray:
+        """Whether a confidence is high enough for a text of that many words, in one line or in several."""
+        if self.model is None:
+            return np.zeros(len(conf), bool)
+        return (conf >= self.model.reject[several, length_class(words)]) & (votes.sum(axis=1) > 0)
 
 
 #: Structures whose records have no language of their own.
@@ -291,17 +325,12 @@ def record_languages(raw: DataFrame, sample_rows: int = 3000) -> DataFrame:
     """(seq, line_no, lang, confidence): ``line_no`` 0 for every record, and every line of a text in several languages.
 
     A text is in several languages if its lines of at least 8 words are not all in one. ``lang`` is ``und`` where the
-    confidence is too low.
+    confidence is too low for the length; a rejected line goes with the rest of its record.
     """
 
     def rows(b, texts, kinds, reader):
         lines = reader.lines(texts)
-        _, votes = _by_record(lines, len(texts))
-        lang, conf = _record_confidence(reader, lines, votes)
-        least = reader.model.reject if reader.model is not None else 1.0
-        lang = np.where(conf >= min(least, 0.5), lang, -1)
-        each, each_conf = reader.languages(lines["votes"], lines["scores"])
-        each = _in_context(lines, each, each_conf, lang)
+        lang, conf, each, each_conf, _ = _languages(reader, lines, len(texts))
         mixed = _mixed(lines, each, len(texts))[lines["record"]]
         where = np.r_[np.arange(len(texts)), lines["record"][mixed]]
         yield pa.RecordBatch.from_arrays(
@@ -312,22 +341,33 @@ def record_languages(raw: DataFrame, sample_rows: int = 3000) -> DataFrame:
     return _segments(raw, _fit(raw, sample_rows), rows, "seq bigint, line_no int, lang string, confidence double")
 
 
-def _in_context(lines: dict[str, np.ndarray], each: np.ndarray, conf: np.ndarray, record: np.ndarray) -> np.ndarray:
+def _languages(reader: Reader, lines: dict[str, np.ndarray], n: int):
+    """Of each of ``n`` records language (-1 where rejected) and confidence, of each line the same, and the records' words."""
+    words, votes = _by_record(lines, n)
+    best, conf = _record_confidence(reader, lines, votes)
+    several = (np.bincount(lines["record"], minlength=n) > 1).astype(np.int64)
+    lang = np.where(reader.accepts(conf, votes, words, several), best, -1)
+    each, each_conf = reader.languages(lines["votes"], lines["scores"], lines["words"])
+    return lang, conf, _in_context(lines, each, lang), each_conf, words
+
+
+def _in_context(lines: dict[str, np.ndarray], each: np.ndarray, record: np.ndarray) -> np.ndarray:
     """Language of each line: one that differs from its record's only counts if it is clearly ahead of that."""
     own, votes, at = record[lines["record"]], lines["votes"], np.arange(len(each))
     best = votes[at, np.maximum(each, 0)]
-    ahead = (best >= 0.65 * votes.sum(axis=1)) & (best >= 2 * votes[at, np.maximum(own, 0)]) & (conf >= 0.4)
+    ahead = (each >= 0) & (best >= 0.65 * votes.sum(axis=1)) & (best >= 2 * votes[at, np.maximum(own, 0)])
     return np.where((each != own) & (own >= 0) & ~ahead, own, each)
 
 
 def _record_confidence(reader: Reader, lines: dict[str, np.ndarray], votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Language of most words of each record, and the share of its words that are in it, weighted by their lines' confidence."""
+    """Language of most words of each record, and the mean confidence of its lines in it, weighted by their words of it."""
     best = votes.argmax(axis=1)
     own = best[lines["record"]]
+    mine = lines["votes"][np.arange(len(own)), own]
     conf = reader.confidence(lines["scores"], lines["votes"], own)
-    held = np.bincount(lines["record"], weights=conf * lines["votes"][np.arange(len(own)), own], minlength=len(best))
-    n = votes.sum(axis=1)
-    return np.where(n > 0, best, -1), held / np.maximum(n, 1)
+    held = np.bincount(lines["record"], weights=conf * mine, minlength=len(best))
+    n = np.bincount(lines["record"], weights=mine, minlength=len(best))
+    return np.where(votes.sum(axis=1) > 0, best, -1), held / np.maximum(n, 1)
 
 
 def _mixed(lines: dict[str, np.ndarray], lang: np.ndarray, n: int, least: int = 8) -> np.ndarray:
@@ -338,12 +378,12 @@ def _mixed(lines: dict[str, np.ndarray], lang: np.ndarray, n: int, least: int =
     return held.sum(axis=1) > 1
 
 
-def mislabelled(raw: DataFrame, sample_rows: int = 3000, least_words: int = 10, least_line: int = 8, least_confidence: float = 0.1) -> DataFrame:
+def mislabelled(raw: DataFrame, sample_rows: int = 3000, least_words: int = 10, least_line: int = 8) -> DataFrame:
     """(seq, line_no, lang): records whose ``is_pt`` is missing or wrong, and the lines of records in several languages.
 
     ``line_no`` 0 stands for a record of at least ``least_words`` words; lines of at least ``least_line`` words are
-    numbered from 1 among all that are not blank. Code, tables and junk give no rows. Every record needs a language
-    here, so only what is below ``least_confidence`` is rejected.
+    numbered from 1 among all that are not blank. Code, tables, junk and rejected records give no rows; a rejected line
+    goes with the rest of its record.
     """
 
     def rows(b, texts, kinds, reader):
@@ -351,14 +391,10 @@ def mislabelled(raw: DataFrame, sample_rows: int = 3000, least_words: int = 10,
         texts = [texts[i] for i in read]
         flag = b.column(1).take(pa.array(read)).to_pylist()
         lines = reader.lines(texts)
-        words, votes = _by_record(lines, len(texts))
-        lang, conf = _record_confidence(reader, lines, votes)
-        lang = np.where(conf >= least_confidence, lang, -1)
+        lang, _, each, _, words = _languages(reader, lines, len(texts))
         pt = LANGUAGES.index("pt")
         wrong = np.array([f is None or f != (x == pt) for f, x in zip(flag, lang)], bool)
         whole = np.flatnonzero((words >= least_words) & (lang >= 0) & wrong)
-        each, each_conf = reader.languages(lines["votes"], lines["scores"], least_confidence)
-        each = _in_context(lines, each, each_conf, lang)
         part = np.flatnonzero(_mixed(lines, each, len(texts), least_line)[lines["record"]] & (lines["words"] >= least_line) & (each >= 0))
         where = read[np.r_[whole, lines["record"][part]].astype(np.int64)]
         yield pa.RecordBatch.from_arrays(

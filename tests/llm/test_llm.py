@@ -316,12 +316,38 @@ def test_language_model_on_held_out_lines():
     model = languages.train([t for _, t in data[:180]])
     reader = languages.Reader(model)
     lines = reader.lines([t for _, t in data[180:]])
-    lang, conf = reader.languages(lines["votes"], lines["scores"], 0.0)
+    lang, conf = reader.languages(lines["votes"], lines["scores"], lines["words"])
     assert [languages.LANGUAGES[k] for k in lang] == [x for x, _ in data[180:]]
-    assert ((conf > 0.5) & (conf <= 1)).all() and 0 < model.temperature and model.held_out > 0.8
+    assert ((conf > 0.5) & (conf <= 1)).all() and 0 < model.temperature and (model.held_out[:, 3:] > 0.95).all()
     assert languages.train(["1 2 3", ""]) is None
 
 
+def test_rejection_is_calibrated_by_length():
+    data = language_texts()
+    random.Random(1).shuffle(data)
+    model = languages.train([t for _, t in data[:180]])
+    assert model.reject.shape == (2, languages.LENGTHS) and (np.diff(model.reject) <= 0).all() and (model.reject[:, 0] > model.reject[:, -1]).all()
+    reader = languages.Reader(model)
+    noise = " ".join("".join(random.Random(i).choice("bcdfghjklmnpqrstvwxz") for _ in range(3 + i % 6)) for i in range(200))
+    texts = [t for _, t in data[180:]] + ["x " + noise, "q", ""]
+    lang, conf, *_ = languages._languages(reader, reader.lines(texts), len(texts))
+    assert (lang[:-3] >= 0).all() and (lang[-3:] == -1).all()
+
+
+def test_held_out_accuracy_on_the_tables(data):
+    """Trained on some records; the flag of the others, where their function words leave no doubt, is mostly right."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{data}/raw_docs.parquet").to_pydict()
+    texts = [a or b or c or "" for a, b, c in zip(t["text"], t["content"], t["raw_content"])]
+    model = languages.train(texts[::2])
+    lines, y = languages.labelled_lines(texts[1::2])
+    reader = languages.Reader(model)
+    read = reader.lines([" ".join(x) for x in lines])
+    lang, _ = reader.languages(read["votes"], read["scores"], read["words"])
+    assert len(y) > 50 and (lang == y).mean() > 0.95
+
+
 def test_mislabelled_records_and_mixed_lines(spark):
     texts = [t for _, t in language_texts()] + [PT + "\n\n" + EN + "\nfim\n" + PT, "curto demais aqui", None, NOISE]
     n = len(texts)
