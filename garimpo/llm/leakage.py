@@ -1,12 +1,16 @@
 """Problem 5: evaluation items leaking into documents, by size-partitioned MinHash containment search.
 
 A leak is a run of at least ``run`` (12) consecutive words of an item that stands consecutively in a document. Each such
-run of an item is a small query set: its ``run - k + 1`` word shingles of ``k`` (5) words. Documents are much longer than
-that, so one signature of a whole document could only estimate the containment. Documents are therefore cut by size as
-well: into all their windows of the queries' own size, each with the MinHash of its shingle set. A contained query has
-the same set as one window and thus the same minimum: no leak is missed. Items are partitioned by size (powers of two of
-their shingles); a partition with at most u shingles asks for a containment of (run - k + 1) / u, and items too small
-for a run form no partition. Every candidate is verified by the exact words of the run.
+run of an item is a small query set: its ``run - k + 1`` word shingles of ``k`` (5) words. Items are partitioned by the
+number of their shingles. An item of at most u shingles may leak by a containment of only (run - k + 1) / u, which no
+signature of a whole document, nor of a whole item, finds with certainty; so both are cut into all windows of the query
+sets' size, and a leak is a window of the one that equals a window of the other, with equal MinHashes: none is missed.
+A partition's band has as many MinHash rows as its containment asks for: the longer the items, the more windows they have
+and the smaller the part that must leak, so that one MinHash in common says less (``PARTITIONS``).
+
+Documents probe partitions, not items: a Bloom filter of fixed size (``bits``) holds the bands of all partitions; only
+windows with a band in it go on, each to the partitions it can reach. They are verified there by their exact words.
+The plan is the same for any number of items; more of them only fill the filter.
 
 Cases: null and empty texts leak nothing, nor do items of fewer than ``run`` words. Repeated rows and repeated passages
 give one row. Empty tables give an empty result. Other columns are ignored, whatever they are called.
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.llm.words import Words, chunks, run_hashes, words_of
+from garimpo.llm.words import MULT, Words, chunks, mix, run_hashes, words_of
 from garimpo.plans.materialize import materialize, spread
 
 
@@ -51,72 +55,126 @@ def plain_words(text: str) -> list[str]:
     return words_of(without_accents(text))
 
 
-def window_minima(h: np.ndarray, run: int, k: int) -> np.ndarray:
-    """MinHash of each window of ``run`` words, from the hashes of the words; empty if there are fewer words."""
+#: Partitions by the number of an item's shingles: (most shingles, MinHash rows of the band).
+PARTITIONS = ((16, 1), (64, 2), (None, 3))
+PROBES = 4  # bits of the filter for each band
+_SEEDS = (np.uint64(0), np.uint64(0x9E6C63D0676A9A99), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def partition_of(shingles: int) -> int:
+    """Number of the partition of an item."""
+    return next(i for i, (most, _) in enumerate(PARTITIONS) if most is None or shingles <= most)
+
+
+def _minima(s: np.ndarray, size: int) -> np.ndarray:
+    """Least value of each ``size`` consecutive ones, by doubling."""
+    n, span = len(s) - size + 1, 1
+    while 2 * span <= size:
+        s = np.minimum(s[: len(s) - span], s[span:])
+        span *= 2
+    return np.minimum(s[:n], s[size - span : size - span + n])
+
+
+def bands(h: np.ndarray, run: int, k: int, wanted: tuple[int, ...] | None = None) -> dict[int, np.ndarray]:
+    """By partition the band of each window of ``run`` words, from the hashes of the words; empty if there are fewer."""
+    wanted = tuple(range(len(PARTITIONS))) if wanted is None else wanted
+    if len(h) < run or not wanted:
+        return {p: np.empty(0, np.uint64) for p in wanted}
     s = run_hashes(h, k)
-    n = len(h) - run + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    m = s[:n].copy()
-    for i in range(1, run - k + 1):
-        np.minimum(m, s[i : i + n], out=m)
-    return m
+    rows, out = [], {}
+    for p in sorted(wanted):
+        while len(rows) < PARTITIONS[p][1]:
+            rows.append(_minima(mix(s ^ _SEEDS[len(rows)]) if rows else s, run - k + 1))
+        band = np.full(len(rows[0]), np.uint64(p + 1))
+        for m in rows[: PARTITIONS[p][1]]:
+            band = mix(band * MULT + m)
+        out[p] = band
+    return out
 
 
 def item_windows(items: DataFrame, run: int = 12, k: int = 5) -> DataFrame:
-    """(minhash, words, item_id, size_class) of each distinct window of each item; a written table."""
+    """(part, band, words, item_id) of each distinct window of each item; a written table."""
 
     def cut(batches):
         for b in batches:
             rows = set()
             for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = plain_words(t or "")
-                for i, m in enumerate(window_minima(Words([" ".join(w)]).hashes, run, k).view(np.int64).tolist()):
-                    rows.add((m, " ".join(w[i : i + run]), item, (len(w) - k + 1).bit_length()))
+                if len(w) < run:
+                    continue
+                p = partition_of(len(w) - k + 1)
+                for i, m in enumerate(bands(Words([" ".join(w)]).hashes, run, k, (p,))[p].view(np.int64).tolist()):
+                    rows.add((p, m, " ".join(w[i : i + run]), item))
             cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int32()))], ["minhash", "words", "item_id", "size_class"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.string(), pa.int64()))], ["part", "band", "words", "item_id"])
+
+    return materialize(items.select("item_id", "text").mapInArrow(cut, "part int, band bigint, words string, item_id bigint").distinct(), "items")
 
-    return materialize(items.select("item_id", "text").mapInArrow(cut, "minhash bigint, words string, item_id bigint, size_class int").distinct(), "items")
 
+def _probes(band: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Positions of each band in a filter of 2 ** ``bits`` bits."""
+    other = mix(band) | np.uint64(1)
+    return [(band + np.uint64(i) * other) >> np.uint64(64 - bits) for i in range(PROBES)]
 
-def leaked_windows(docs: DataFrame, index: DataFrame, run: int = 12, k: int = 5, most_sent: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id, size_class) of each leaked window of each document.
 
-    Up to ``most_sent`` distinct minima of the items (8 MB) are counted and sent to the tasks, which then only pass on
-    windows with such a minimum. With more items all windows go into the same join.
-    """
-    minima = index.select("minhash").distinct()
-    sent = None
-    if minima.limit(most_sent + 1).count() <= most_sent:
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(minima.toPandas()["minhash"].to_numpy(np.int64).view(np.uint64)))
+def band_filter(index: DataFrame, bits: int) -> np.ndarray:
+    """Bloom filter of the items' bands, as 64-bit words. Tasks set its bits; at most 2 ** (bits - 6) words come together."""
+
+    def fill(batches):
+        for b in batches:
+            at = np.concatenate(_probes(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
+            word, bit = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+            order = np.argsort(word)
+            first = np.flatnonzero(np.r_[True, np.diff(word[order]) > 0]) if len(at) else np.empty(0, np.int64)
+            value = np.bitwise_or.reduceat(bit[order], first) if len(at) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word[order][first].astype(np.int32)), pa.array(value.view(np.int64))], ["word", "value"])
+
+    got = index.select("band").mapInArrow(fill, "word int, value bigint").groupBy("word").agg(F.expr("bit_or(value)").alias("value")).toPandas()
+    out = np.zeros(1 << max(bits - 6, 0), np.uint64)
+    out[got["word"].to_numpy(np.int64)] = got["value"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _may_hold(words: np.ndarray, band: np.ndarray, bits: int) -> np.ndarray:
+    ok = np.ones(len(band), bool)
+    for at in _probes(band, bits):
+        ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def window_bands(docs: DataFrame, index: DataFrame, run: int = 12, k: int = 5, bits: int = 26) -> DataFrame:
+    """(doc_id, part, band, words) of each window of each document that may stand in an item of a partition."""
+    sent = docs.sparkSession.sparkContext.broadcast(band_filter(index, bits))  # 8 MB at any size
+    parts = tuple(sorted(r["part"] for r in index.select("part").distinct().collect()))  # one row a partition
 
     def cut(batches):
-        known = None if sent is None else sent.value
+        known = sent.value
         for b in batches:
-            at, low, words = [], [], []
-            for first, part in chunks(b.column(1).to_pylist()):
-                w = Words([without_accents(t) if t else "" for t in part])
-                m = window_minima(w.hashes, run, k)
-                if not len(m):
-                    continue
-                owner = np.searchsorted(w.bounds, np.arange(len(m)), side="right") - 1
-                hit = w.bounds[owner + 1] - np.arange(len(m)) >= run  # the window lies within one text
-                if known is not None:
-                    # neighbouring windows mostly share their minimum: look up each only once
+            at, part, band, words = [], [], [], []
+            for first, texts in chunks(b.column(1).to_pylist()):
+                w = Words([without_accents(t) if t else "" for t in texts])
+                for p, m in bands(w.hashes, run, k, parts).items():
+                    if not len(m):
+                        continue
+                    # neighbouring windows mostly share their band: look up each only once
                     new = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-                    u = m[new]
-                    ok = known[np.minimum(np.searchsorted(known, u), len(known) - 1)] == u if len(known) else np.zeros(len(u), bool)
-                    hit &= np.repeat(ok, np.diff(np.r_[new, len(m)]))
-                for p in np.flatnonzero(hit).tolist():
-                    at.append(first + int(owner[p]))
-                    words.append(" ".join(w.word(i) for i in range(p, p + run)))
-                low.append(m[hit].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int64())), pa.array(np.concatenate(low) if low else np.empty(0, np.int64)), pa.array(words, pa.string())], ["doc_id", "minhash", "words"]
-            )
-
-    cuts = spread(docs.select("doc_id", "text")).mapInArrow(cut, "doc_id bigint, minhash bigint, words string")
-    return cuts.join(index, ["minhash", "words"]).select("doc_id", "item_id", "size_class")
+                    hit = np.flatnonzero(np.repeat(_may_hold(known, m[new], bits), np.diff(np.r_[new, len(m)])))
+                    owner = np.searchsorted(w.bounds, hit, side="right") - 1
+                    inside = w.bounds[owner + 1] - hit >= run  # the window lies within one text
+                    hit, owner = hit[inside], owner[inside]
+                    at.append(first + owner)
+                    part.append(np.full(len(hit), p, np.int32))
+                    band.append(m[hit].view(np.int64))
+                    words += [" ".join(w.word(i) for i in range(q, q + run)) for q in hit.tolist()]
+            cols = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((at, np.int64), (part, np.int32), (band, np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0])), pa.array(cols[1]), pa.array(cols[2]), pa.array(words, pa.string())], ["doc_id", "part", "band", "words"])
+
+    return spread(docs.select("doc_id", "text")).mapInArrow(cut, "doc_id bigint, part int, band bigint, words string")
+
+
+def leaked_windows(docs: DataFrame, index: DataFrame, run: int = 12, k: int = 5, bits: int = 26) -> DataFrame:
+    """(doc_id, item_id, part) of each leaked window of each document."""
+    return window_bands(docs, index, run, k, bits).join(index, ["part", "band", "words"]).select("doc_id", "item_id", "part")
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = 12, k: int = 5) -> DataFrame:

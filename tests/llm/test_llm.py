@@ -213,8 +213,33 @@ def test_leaks_equal_brute_force(spark):
     got = leakage.leaks(d, b).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     index = leakage.item_windows(b)
-    far = leakage.leaked_windows(d, index, most_sent=0).select("doc_id", "item_id").distinct().collect()
-    assert {tuple(r) for r in far} == want
+    assert {r["part"] for r in index.collect()} == {0, 1, 2}
+    full = leakage.leaked_windows(d, index, bits=7).select("doc_id", "item_id").distinct().collect()  # a filter that is full
+    assert {tuple(r) for r in full} == want
+    few, all_ = (leakage.window_bands(d, index, bits=n).count() for n in (26, 7))
+    assert few < all_ / 2
+
+
+def test_bands_are_those_of_the_window_alone():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 60).astype(np.uint64)
+    whole = leakage.bands(h, 12, 5)
+    for i in range(len(h) - 11):
+        one = leakage.bands(h[i : i + 12], 12, 5)
+        assert all(whole[p][i] == one[p][0] for p in whole)
+    assert all(len(x) == 0 for x in leakage.bands(h[:11], 12, 5).values())
+    for size in range(1, 10):
+        assert list(leakage._minima(h, size)) == [h[i : i + size].min() for i in range(len(h) - size + 1)]
+
+
+def test_many_items_keep_the_plan(spark):
+    """With 10 ** 6 bands the filter still holds back nearly all windows that stand in no item."""
+    keys = np.random.default_rng(4).integers(0, 1 << 63, 1_000_000).astype(np.uint64)
+    f = np.zeros(1 << 20, np.uint64)
+    for at in leakage._probes(keys, 26):
+        np.bitwise_or.at(f, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    assert leakage._may_hold(f, keys, 26).all()
+    other = np.random.default_rng(5).integers(0, 1 << 63, 100_000).astype(np.uint64)
+    assert leakage._may_hold(f, other, 26).mean() < 0.01
 
 
 def test_leaks_ignore_accents(spark):
