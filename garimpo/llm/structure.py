@@ -1,10 +1,16 @@
 """Problem 1: text quality statistics and the structure of each record: prose, list, table or junk.
 
-Each record's lines are told apart by shape: rows of fields, items, code, and running text. What is left after the rows
-is described by three distributions: character classes, function words, and line shapes. Each is compared with profiles
-by Jensen-Shannon divergence: character classes with the prose of each language and with kinds of noise, function
-words with the prose of each language and with bare item texts, line shapes with the layouts of prose and lists. The
-record gets the structural profile that is nearest over the part of the text (in characters) that makes up most of it.
+A record is described by distributions, each compared with profiles by Jensen-Shannon divergence:
+
+* *layout*: how much of the text stands in lines of each shape (long or short, ended or open, items, rows of fields, code),
+  against the layouts of prose, lists, tables and code;
+* *characters*: classes of the characters outside the rows, against the prose of each language and kinds of noise;
+* *function words*, against the prose of each language and bare items;
+* *repetition*: runs of three words that are new and that were there before, against prose and endless repetition;
+* *pieces*: readable text and dumped bytes, against prose and dumps.
+
+The record gets the structure whose profiles are nearest. Layouts of tables and code decide where most of the text has
+them; noise, repetition and dumps are junk; between list and prose, layout and function words decide together.
 
 Cases: null and blank texts are ``prose`` with all statistics 0. Texts of fewer than ``MIN_WORDS`` words without rows
 are prose, unless they are noise throughout. Texts mainly in other scripts than Latin are prose unless they have rows.
@@ -28,7 +34,6 @@ KINDS = ("prose", "list", "table", "junk", "code")
 MIN_WORDS = 12
 SHAPE_WEIGHT = 0.05
 LIST_MARGIN = 0.012  # in doubt, verse rather than a list
-REPEATED = 0.45  # share of repeated word triples
 
 # Character classes: 0 vowel, 1 frequent consonant, 2 rare letter, 3 digit, 4 space, 5 sentence mark, 6 symbol, 7 odd, 8 other letter
 N_CLASSES = 9
@@ -49,8 +54,8 @@ CHARACTER_PROFILES = {
     "noise_garbled_light": (0.300, 0.330, 0.012, 0.005, 0.158, 0.040, 0.005, 0.150, 0.0),
 }
 
-# Line shapes: 0 long and ended, 1 long and open, 2 short and ended, 3 short and open, 4 marked item, 5 inline items
-N_SHAPES = 6
+# Shapes of free lines: 0 long and ended, 1 long and open, 2 short and ended, 3 short and open, 4 marked item, 5 inline items
+FREE = 6
 # Shares of text by line shape.
 SHAPE_PROFILES = {
     "prose_paragraphs": (0.93, 0.04, 0.02, 0.01, 0.0, 0.0),
@@ -61,6 +66,12 @@ SHAPE_PROFILES = {
     "list_bare": (0.0, 0.02, 0.01, 0.95, 0.02, 0.0),
     "list_inline": (0.0, 0.0, 0.0, 0.02, 0.0, 0.98),
 }
+# Shares of text in free lines, rows of fields and code.
+LAYOUT_PROFILES = {"free": (0.97, 0.02, 0.01), "table": (0.06, 0.93, 0.01), "code": (0.18, 0.02, 0.80)}
+# Shares of word triples that are new and that have been there before.
+RUN_PROFILES = {"prose": (0.97, 0.03), "loop": (0.08, 0.92)}
+# Shares of readable text and of dumped bytes.
+PIECE_PROFILES = {"text": (0.99, 0.01), "dump": (0.25, 0.75)}
 
 _CELL = re.compile(r"<t[dhr](?:\s[^<>]*)?>", re.I)
 _LI = re.compile(r"<li(?:\s[^<>]*)?>", re.I)
@@ -201,6 +212,7 @@ def _measure(texts: list[str]) -> dict[str, np.ndarray]:
     cells = np.zeros(len(line_end))
     pairs = np.flatnonzero((counts["="] >= 2) | (counts[":"] >= 2))
     n_pairs = np.zeros(len(line_end), np.int64)
+    fields: dict[tuple, list[int]] = {}  # lines by their text and the names of their fields
 
     def line(k):
         d = doc[k]
@@ -208,7 +220,15 @@ def _measure(texts: list[str]) -> dict[str, np.ndarray]:
         return plain[d][line_start[k] - o : line_end[k] - o]
 
     for k in pairs.tolist():
-        n_pairs[k] = len(_PAIR.findall(line(k)))
+        names = _PAIR.findall(line(k))
+        n_pairs[k] = len(names)
+        if len(names) > 1:
+            fields.setdefault((doc[k], *names), []).append(k)
+    # the same fields in line after line are records, whatever else they look like
+    is_record = np.zeros(len(line_end), bool)
+    for lines in fields.values():
+        if len(lines) > 2:
+            is_record[lines] = True
     for code, n_sep, ok in (
         (7, n_pairs, (n_pairs >= 2) & (size < 45 * n_pairs)),
         (6, tight["&"], (tight["&"] >= 2)),
@@ -236,7 +256,8 @@ def _measure(texts: list[str]) -> dict[str, np.ndarray]:
         d = doc[k]
         o = w.offsets[d]
         is_code[k] = bool(_CODE.match(texts[d][line_start[k] - o : line_end[k] - o] if plain[d] is texts[d] else line(k)))
-    is_row &= ~is_code
+    is_code &= ~is_record
+    is_row = (is_row | is_record) & ~is_code
 
     # items
     start = np.minimum.accumulate(np.where(cls != 4, idx, len(cp))[::-1])[::-1] if len(cp) else idx
@@ -252,7 +273,7 @@ def _measure(texts: list[str]) -> dict[str, np.ndarray]:
     shape[(line_words >= 8) & (inline >= 5) & (line_words <= 4.2 * (inline + 1))] = 5
     shape[is_item] = 4
     free = alive & ~is_row
-    shapes = np.bincount((doc * N_SHAPES + shape)[free], weights=size[free], minlength=n * N_SHAPES).reshape(-1, N_SHAPES)
+    shapes = np.bincount((doc * FREE + shape)[free], weights=size[free], minlength=n * FREE).reshape(-1, FREE)
     chars = np.stack([per_doc(np.where(free, by_class[:, c], 0)) for c in range(N_CLASSES)], axis=1) if n else np.zeros((0, N_CLASSES))
 
     garbled, hexes, repeats = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -286,7 +307,7 @@ def _measure(texts: list[str]) -> dict[str, np.ndarray]:
     n_lines = per_doc(alive.astype(float))
     return {
         "words": n_words, "letters": letters, "size": raw_size, "symbols": np.maximum(raw_size - letters - blanks, 0), "ended": per_doc(ended.astype(float)), "lines": n_lines,
-        "rows": per_doc(np.where(is_row, size, 0)) / whole, "code": per_doc(np.where(is_code, size, 0)) / whole, "hexes": hexes / whole, "repeats": repeats,
+        "rows": per_doc(np.where(is_row, size, 0)) / whole, "code": per_doc(np.where(is_code & ~is_row, size, 0)) / whole, "hexes": hexes / whole, "repeats": repeats,
         "garbled": garbled, "chars": chars, "function": f, "function_items": f_items, "shapes": shapes,
     }
 
@@ -318,13 +339,19 @@ def measure(texts: list) -> dict[str, np.ndarray]:
     like_list = item_word + SHAPE_WEIGHT * list_shape < prose_word + SHAPE_WEIGHT * prose_shape - LIST_MARGIN
     # words without any sentence: running text that has the function words of no language
     bare = (item_word < prose_word) & (common < 0.06) & (prose_shape < list_shape) & latin
+    def near(profiles, *shares):
+        return np.array(list(profiles))[divergence(np.stack(shares, axis=1), np.array(list(profiles.values()))).argmin(axis=1)]
+
+    layout = near(LAYOUT_PROFILES, np.maximum(1 - m["rows"] - m["code"], 0), m["rows"], m["code"])
+    runs = near(RUN_PROFILES, 1 - m["repeats"], m["repeats"])
+    pieces = near(PIECE_PROFILES, 1 - np.minimum(m["hexes"], 1), np.minimum(m["hexes"], 1))
     kind = np.zeros(n, np.int64)
     kind[like_list & in_items & (words >= MIN_WORDS)] = 1
     kind[bare & (words >= MIN_WORDS)] = 3
-    kind[is_noise | (m["repeats"] > REPEATED)] = 3
-    kind[m["rows"] > 0.5] = 2
-    kind[m["hexes"] > 0.35] = 3
-    kind[m["code"] > 0.4] = 4
+    kind[is_noise | (runs == "loop")] = 3
+    kind[layout == "table"] = 2
+    kind[pieces == "dump"] = 3
+    kind[layout == "code"] = 4
     kind[m["lines"] == 0] = 0
     return {
         "n_words": words, "mean_word_length": m["letters"] / np.maximum(words, 1), "symbol_ratio": m["symbols"] / np.maximum(size, 1),

@@ -304,6 +304,15 @@ def test_structures(spark):
     assert found == {(4, "list"), (5, "table"), (6, "junk"), (7, "junk"), (15, "table"), (16, "table")}
 
 
+def test_records_of_named_fields_are_tables_and_code_is_not():
+    fields = "\n".join(f"Campus=Frágil {i} Mentor={i * 31} Ensaio=-" for i in range(9))
+    mixed = "\n".join(f"{k}: {i}, lote: {i * 7}, cor: azul" for i, k in enumerate(["peso"] * 9))
+    code = "\n".join(f"x{i} = f(a={i}, b={i})\ny{i} += x{i} == {i}" for i in range(9))
+    dump = "\n".join(" ".join(f"{(i * 37 + j * 91) % 256:02x}" for j in range(16)) for i in range(12))
+    texts = [fields, PT + "\n" + fields, mixed, code, dump, PT + "\n" + "\n".join(fields.split("\n")[:1]), LOOP + PT, PT + LOOP[:60]]
+    assert [structure.KINDS[k] for k in structure.measure(texts)["kind"]] == ["table", "table", "table", "code", "junk", "prose", "junk", "prose"]
+
+
 def test_statistics_do_not_depend_on_the_batch():
     texts = [PT, LIST, None, TABLE, "x" * 400_001, EN, "a b\n\nc.", "<p>Um texto</p> &mdash; fim."]
     whole = structure.measure(texts)
