@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.llm.languages import record_languages
 from garimpo.llm.words import canonical, effective_text, source_name
 from garimpo.plans.materialize import materialize, spread
 
@@ -128,6 +129,19 @@ def record_tokens(raw: DataFrame, merges: DataFrame) -> DataFrame:
     return with_tokens(spread(raw.select("seq", source_name(raw).alias("source"), language_label(raw).alias("language"), effective_text(raw).alias("text"))), merges)
 
 
+def token_slices(raw: DataFrame, merges: DataFrame, targets: DataFrame, sample_rows: int = 3000) -> DataFrame:
+    """(source, language, subject, n_records, n_tokens) of every combination that occurs.
+
+    Unlike in ``token_totals``, the language is the one that problem 2 finds in the text (``und`` where it finds none).
+    A repeated ``seq`` has the language of one of its rows.
+    """
+    tokens = record_tokens(raw, merges).groupBy("seq", "source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_tokens").alias("n_tokens"))
+    found = record_languages(raw, sample_rows).filter("line_no = 0").groupBy("seq").agg(F.min("lang").alias("language"))
+    by = tokens.join(found, "seq").groupBy("source", "language").agg(F.sum("n_records").alias("n_records"), F.sum("n_tokens").alias("n_tokens"))
+    subjects = targets.groupBy(canonical(F.col("source")).alias("source")).agg(F.min("subject").alias("subject"))
+    return by.join(subjects, "source", "left").select("source", "language", F.coalesce("subject", F.lit("unknown")).alias("subject"), "n_records", "n_tokens")
+
+
 def token_totals(raw: DataFrame, merges: DataFrame, targets: DataFrame) -> DataFrame:
     """(slice, name, n_records, n_tokens): totals by ``source``, ``language`` and ``subject``, and ``all``.
 

@@ -285,6 +285,17 @@ def test_token_counts_equal_stepwise_merging():
     assert token_budget.Merger([]).count(["né", None]) == [3, 0]
 
 
+def test_slices_take_the_language_of_the_text(spark):
+    texts = [t for _, t in language_texts()] + [None, "12"]
+    n = len(texts)
+    r = raw(spark, texts, flags={i: True for i in range(n)}, sources={i: "PT-web" if i % 2 else "x" for i in range(n)})
+    merges = spark.createDataFrame([], "merge_rank int, left_token string, right_token string")
+    targets = spark.createDataFrame([("pt_web", "web", 1.0, 1)], "source string, subject string, weight double, max_repeats int")
+    got = {(x["source"], x["language"], x["subject"]): (x["n_records"], x["n_tokens"]) for x in token_budget.token_slices(r, merges, targets).collect()}
+    assert sum(a for a, _ in got.values()) == n and sum(b for _, b in got.values()) == sum(len((t or "").encode()) for t in texts)
+    assert got["pt_web", "fr", "web"][0] == got["x", "es", "unknown"][0] == 30 and got["x", "und", "unknown"] == (1, 0)
+
+
 # --- problem 1
 
 LIST = "Compras da semana:\n" + "\n".join(f"- {x}" for x in ("arroz integral", "feijão preto", "café moído", "azeite", "sal grosso", "leite", "pão de forma", "queijo branco", "alface", "tomate"))
