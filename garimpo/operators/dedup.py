@@ -9,6 +9,7 @@ they are never duplicates and never inserted.
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -81,11 +82,23 @@ def _bands(sigs: DataFrame, num_perm: int, rows: int) -> DataFrame:
     return sigs.select("seq", F.explode(band_keys(F.col("signature"), num_perm, rows)).alias("key"))
 
 
-def candidates(sigs: DataFrame, num_perm: int = 128, rows: int = 4) -> DataFrame:
+def band_pairs(left: DataFrame, right: DataFrame, most: int = 1000) -> DataFrame:
+    """(a, b): all pairs of a row of ``left(seq, key)`` and one of ``right(seq, key)`` with the same key; repeats included.
+
+    Rows of a band that is longer than ``most`` on the left are cut into parts; each part meets the whole right side of
+    the band as a task's work of its own, so that no band's pairs are made in one place.
+    """
+    n = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("parts"))
+    cut = left.join(n, "key").select(F.col("seq").alias("a"), "key", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int").alias("part"))
+    wide = right.join(n, "key").select(F.col("seq").alias("b"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return cut.join(wide, ["key", "part"]).select("a", "b")
+
+
+def candidates(sigs: DataFrame, num_perm: int = 128, rows: int = 4, most: int = 1000) -> DataFrame:
     """(a, b), a < b: documents that share a band, each pair once."""
-    k = _bands(sigs, num_perm, rows)
-    left, right = k.select(F.col("seq").alias("a"), "key"), k.select(F.col("seq").alias("b"), "key")
-    return left.join(right, "key").filter("a < b").select("a", "b").distinct()
+    keys = materialize(_bands(sigs, num_perm, rows), "bands")
+    shared = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi")
+    return band_pairs(shared, shared, most).filter("a < b").distinct()
 
 
 def similar_pairs(sigs: DataFrame, threshold: float = 0.8, num_perm: int = 128, rows: int = 4) -> DataFrame:
@@ -101,22 +114,30 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> Dat
 
     Whole frontiers are decided at once: a node without an undecided earlier neighbour is kept, its later neighbours are
     dropped. The number of rounds is the longest chain of dependent decisions; each round works on the edges that are
-    still open, in written tables.
+    still open, in written tables. What was dropped is kept in tables that are merged as their number grows, so that the
+    plan stays small however many rounds there are.
     """
     open_ = materialize(edges.select("a", "b"), "edges")
-    dropped = []
+    dropped: list[DataFrame] = []
+
+    def merged() -> DataFrame:
+        out = dropped[0]
+        for d in dropped[1:]:
+            out = out.unionByName(d)
+        return out
+
     for _ in range(rounds):
         if open_.isEmpty():
             break
         front = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         now = materialize(open_.join(front, "a", "left_semi").select("b").distinct(), "dropped")
-        dropped.append(now)
         open_ = materialize(open_.join(now, "b", "left_anti").join(now.select(F.col("b").alias("a")), "a", "left_anti"), "edges")
+        dropped.append(now)
+        if len(dropped) == 16:
+            dropped[:] = [materialize(merged(), "dropped")]
     else:
         raise RuntimeError(f"undecided after {rounds} rounds")
-    for d in dropped:
-        nodes = nodes.join(d.select(F.col("b").alias("seq")), "seq", "left_anti")
-    return nodes.select("seq")
+    return nodes.select("seq").join(merged().select(F.col("b").alias("seq")), "seq", "left_anti") if dropped else nodes.select("seq")
 
 
 def greedy_dedup(docs: DataFrame, threshold: float = 0.8, num_perm: int = 128, rows: int = 4, seed: int = 42, n: int = 5) -> DataFrame:
@@ -133,38 +154,54 @@ def ring_keep(ordered: list[tuple[int, list[int]]], capacity: int) -> list[int]:
 
     ``ordered`` holds (seq, earlier similar documents) in order of seq.
     """
-    rank: dict[int, int] = {}
+    kept, last = [], Ring(capacity)
     for seq, earlier in ordered:
-        if not any(j in rank and rank[j] >= len(rank) - capacity for j in earlier):
-            rank[seq] = len(rank)
-    return list(rank)
+        if not any(j in last for j in earlier):
+            kept.append(seq)
+            last.add(seq)
+    return kept
+
+
+class Ring:
+    """The last ``capacity`` numbers that were added."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.order, self.held = capacity, deque(), set()
+
+    def add(self, seq: int) -> None:
+        self.order.append(seq)
+        self.held.add(seq)
+        if len(self.order) > self.capacity:
+            self.held.discard(self.order.popleft())
+
+    def __contains__(self, seq: int) -> bool:
+        return seq in self.held
 
 
 def windowed_dedup(docs: DataFrame, capacity: int, threshold: float = 0.8, num_perm: int = 128, rows: int = 4, seed: int = 42, n: int = 5) -> DataFrame:
     """Like ``greedy_dedup``, but only the last ``capacity`` kept documents are compared with.
 
     What a document finds depends on how many were kept before it, so the decisions form one ordered fold. It runs in one
-    task over the similar pairs and the sequence numbers only, streamed in order.
+    task over the similar pairs and the sequence numbers only, streamed in order; it holds ``capacity`` numbers.
     """
     sigs = materialize(signatures(docs, num_perm, seed, n), "all-signatures")
-    k = _bands(sigs, num_perm, rows)
-    pairs = k.select(F.col("seq").alias("a"), "key").join(k.select(F.col("seq").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
+    pairs = candidates(sigs, num_perm, rows)
     s = sigs.select(F.col("seq").alias("b"), F.col("signature").alias("sb"))
     pairs = pairs.join(sigs.select(F.col("seq").alias("a"), F.col("signature").alias("sa")), "a").join(s, "b").filter(signature_similarity(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
     rowed = sigs.select("seq", F.lit(-1).cast("bigint").alias("earlier")).unionByName(pairs.select(F.col("b").alias("seq"), F.col("a").alias("earlier")))
 
     def fold(batches):
-        rank: dict[int, int] = {}
+        last = Ring(capacity)
         now, hit = None, False
         for b in batches:
             out = []
             for seq, earlier in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if seq != now:
                     if now is not None and not hit:
-                        rank[now] = len(rank)
+                        last.add(now)
                         out.append(now)
                     now, hit = seq, False
-                hit |= earlier in rank and rank[earlier] >= len(rank) - capacity
+                hit |= earlier in last
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["seq"])
         if now is not None and not hit:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], ["seq"])
@@ -186,7 +223,7 @@ def held_out_leaks(train: DataFrame, val: DataFrame, threshold: float = 0.65, nu
     exact = train.select("seq", key.alias("k")).join(val.select(key.alias("k")).distinct(), "k", "left_semi").select("seq")
     t, v = materialize(signatures(train, num_perm, seed, n), "train"), distinct_signatures(signatures(val, num_perm, seed, n))
     one = distinct_signatures(t)
-    pairs = _bands(one, num_perm, rows).join(_bands(v, num_perm, rows).withColumnRenamed("seq", "v"), "key").select("seq", "v").distinct()
+    pairs = band_pairs(_bands(one, num_perm, rows), _bands(v, num_perm, rows)).distinct().withColumnsRenamed({"a": "seq", "b": "v"})
     pairs = pairs.join(one.withColumnRenamed("signature", "a"), "seq").join(v.select(F.col("seq").alias("v"), F.col("signature").alias("b")), "v")
     similar = pairs.filter(signature_similarity(F.col("a"), F.col("b")) >= threshold).select("a").distinct()
     near = t.join(similar.withColumnRenamed("a", "signature"), "signature", "left_semi").select("seq")

@@ -9,9 +9,10 @@ from __future__ import annotations
 import random
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from garimpo.plans.prefix import running_rank
+
 
 def check_weights(sources: list[str], weights: dict[str, float] | None) -> dict[str, float]:
     """Positive weights of all sources; uniform if none are given."""
@@ -40,8 +41,8 @@ def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
 def interleave(df: DataFrame, source: str, order: str, weights: dict[str, float]) -> DataFrame:
     """``df`` with ``pace``: sorted by it, each prefix holds the sources by weight as far as they last."""
     w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
-    k = F.row_number().over(W.partitionBy(source).orderBy(order))
-    return df.filter(F.col(source).isin(list(weights))).withColumn("pace", k / F.element_at(w, F.col(source)))
+    ranked = running_rank(df.filter(F.col(source).isin(list(weights))), source, order, "_k")
+    return ranked.withColumn("pace", F.col("_k") / F.element_at(w, F.col(source))).drop("_k")
 
 
 def drawn_order(sizes: dict[str, int], weights: dict[str, float] | None = None, seed: int = 42, most: int = 10_000_000) -> list[tuple[int, str, int]]:
@@ -65,8 +66,7 @@ def draw(df: DataFrame, source: str, order: str, weights: dict[str, float] | Non
     """``df`` with ``draw``, the number of the draw that takes each row."""
     sizes = {r[0]: r[1] for r in df.groupBy(source).count().orderBy(source).collect()}
     plan = df.sparkSession.createDataFrame(drawn_order(sizes, weights, seed), f"draw bigint, {source} string, _k bigint")
-    k = (F.row_number().over(W.partitionBy(source).orderBy(order)) - 1).cast("bigint")
-    return df.withColumn("_k", k).join(plan, [source, "_k"]).drop("_k")
+    return running_rank(df, source, order, "_k").withColumn("_k", F.col("_k") - 1).join(plan, [source, "_k"]).drop("_k")
 
 
 def hash_order(key: Column, seed: str) -> Column:

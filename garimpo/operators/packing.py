@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from garimpo.functions.text import let, whitespace_words
-from garimpo.plans.prefix import running_offset
+from garimpo.plans.prefix import running_offset, running_rank
 
 IGNORE = -100
 MASK16 = 65535
@@ -124,28 +125,75 @@ def unit_grid(shards: DataFrame, unit_len: int) -> DataFrame:
     return shards.select("shard_id", n.cast("bigint").alias("n_units")).withColumn("first_unit", F.coalesce(F.sum("n_units").over(w), F.lit(0)))
 
 
+def units(grid: DataFrame) -> DataFrame:
+    """(shard_id, first_unit, unit): one row a unit, listed from its shard's row."""
+    have = grid.filter("n_units > 0")
+    return have.select("shard_id", "first_unit", F.explode(F.sequence("first_unit", F.col("first_unit") + F.col("n_units") - 1)).alias("unit"))
+
+
+def windows_of_epochs(grid: DataFrame, seed: int, epochs: int, unit_len: int, seq_len: int, micro_batch: int) -> DataFrame:
+    """(epoch, batch, row, shard_id, start): where each row of each batch begins; an epoch's leftover windows are dropped.
+
+    The units of an epoch are permuted by the order of a keyed hash, computed on each row; their places are running
+    counts over range partitions. Nothing is listed on the driver. Windows follow from the units by arithmetic.
+    """
+    if unit_len % seq_len:
+        raise ValueError("unit_len must be a multiple of seq_len")
+    per = unit_len // seq_len
+    u = units(grid).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint"))))
+    u = u.withColumn("key", F.md5(F.concat(F.lit(f"{seed}-"), "epoch", F.lit(f"-{unit_len}:"), "unit")))
+    placed = running_rank(u, "epoch", "key", "place")
+    total = grid.agg(F.coalesce(F.sum("n_units"), F.lit(0)).alias("total"))
+    w = placed.join(F.broadcast(total)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))  # a single row
+    number = (F.col("place") - 1) * per + F.col("k")
+    batch = F.floor(number / micro_batch)
+    return w.filter(batch < F.floor(F.col("total") * per / micro_batch)).select(
+        "epoch", batch.alias("batch"), (number % micro_batch).cast("bigint").alias("row"), "shard_id", ((F.col("unit") - F.col("first_unit")) * unit_len + F.col("k") * seq_len).alias("start")
+    )
+
+
 def unit_permutation(n_units: int, seed: int, epoch: int, unit_len: int) -> np.ndarray:
-    """The order of the units in an epoch (one number a unit, on the driver)."""
+    """The order of the units in an epoch as NumPy's seeded generator draws it."""
     return np.random.default_rng([seed, epoch, unit_len]).permutation(n_units)
 
 
 def windows_of_epoch(grid: DataFrame, seed: int, epoch: int, unit_len: int, seq_len: int, micro_batch: int) -> DataFrame:
-    """(batch, row, shard_id, start): where each row of each batch of an epoch begins; leftover windows are dropped.
+    """(batch, row, shard_id, start): one epoch like ``windows_of_epochs``, but in the order of ``unit_permutation``.
 
-    The plan has one row a unit; windows follow from it by arithmetic.
+    For replaying runs bit by bit: one task draws the permutation (8 bytes a unit), the rest is distributed.
     """
     if unit_len % seq_len:
         raise ValueError("unit_len must be a multiple of seq_len")
-    spark = grid.sparkSession
-    total = grid.agg(F.coalesce(F.sum("n_units"), F.lit(0))).first()[0]
     per = unit_len // seq_len
-    n_batches = total * per // micro_batch
-    perm = unit_permutation(total, seed, epoch, unit_len)
-    plan = spark.createDataFrame([(i, int(u)) for i, u in enumerate(perm)], "place bigint, unit bigint")
-    units = plan.join(F.broadcast(grid), (F.col("unit") >= F.col("first_unit")) & (F.col("unit") < F.col("first_unit") + F.col("n_units")))  # one row a shard
-    w = units.select("shard_id", ((F.col("unit") - F.col("first_unit")) * unit_len).alias("begin"), "place", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("k"))
+    total = grid.agg(F.coalesce(F.sum("n_units"), F.lit(0)).alias("total"))
+
+    def drawn(batches):
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                order = unit_permutation(n, seed, epoch, unit_len)
+                for i in range(0, n, 100_000):
+                    part = order[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array(part)], ["place", "unit"])
+
+    w = total.mapInArrow(drawn, "place bigint, unit bigint").join(units(grid), "unit").join(F.broadcast(total))  # a single row
+    w = w.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
     number = F.col("place") * per + F.col("k")
-    return w.select(F.floor(number / micro_batch).alias("batch"), (number % micro_batch).alias("row"), "shard_id", (F.col("begin") + F.col("k") * seq_len).alias("start")).filter(F.col("batch") < n_batches)
+    batch = F.floor(number / micro_batch)
+    return w.filter(batch < F.floor(F.col("total") * per / micro_batch)).select(
+        batch.alias("batch"), (number % micro_batch).alias("row"), "shard_id", ((F.col("unit") - F.col("first_unit")) * unit_len + F.col("k") * seq_len).alias("start")
+    )
+
+
+def after_state(windows: DataFrame, epoch: int, batch: int) -> DataFrame:
+    """The windows that a reader has still to read that stopped before ``batch`` of ``epoch``."""
+    return windows.filter((F.col("epoch") > epoch) | (F.col("epoch") == epoch) & (F.col("batch") >= batch))
+
+
+def check_state(saved: dict, current: dict) -> None:
+    """Refuse to resume a reader whose shards, units or seed are not those of the saved state."""
+    for k in ("shards", "unit_len", "seed"):
+        if saved.get(k) != current.get(k):
+            raise ValueError(f"cannot resume: {k} was {saved.get(k)!r}, is {current.get(k)!r}")
 
 
 def after_stage_switch(position: Column, old_per_unit: Column, new_per_unit: Column) -> Column:

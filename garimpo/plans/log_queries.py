@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from garimpo.operators import runlog as R
+from garimpo.plans.prefix import running_offset
 from garimpo.plans.registry import query, table
 
 LOG = "WITH g AS (SELECT * FROM train_log QUALIFY row_number() OVER (PARTITION BY run, line ORDER BY received_at) = 1)"
@@ -134,12 +135,10 @@ def mfu(spark, folder):
 
 @query(LOG + " SELECT run, line, rank() OVER (ORDER BY skipped, tok_s DESC NULLS LAST) AS place FROM g")
 def bench_rank(spark, folder):
-    """Fastest lines first, skipped ones last; places are found by counting faster ones in ranges, not in one task."""
-    d = _log(spark, folder).select("run", "line", "skipped", "tok_s")
-    speeds = d.groupBy("skipped", "tok_s").agg(F.count(F.lit(1)).alias("n"))
-    place = F.coalesce(F.sum("n").over(W.orderBy("skipped", F.desc_nulls_last("tok_s")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
-    ranked = speeds.withColumn("place", place).drop("n")
-    return d.join(ranked, d["skipped"].eqNullSafe(ranked["skipped"]) & d["tok_s"].eqNullSafe(ranked["tok_s"])).select("run", "line", "place")
+    """Fastest lines first, skipped ones last; places are running counts over ranges of speeds, not a window in one task."""
+    d = _log(spark, folder).select("run", "line", F.struct("skipped", F.col("tok_s").isNull().alias("none"), (-F.col("tok_s")).alias("slow")).alias("speed"))
+    speeds = running_offset(d.groupBy("speed").agg(F.count(F.lit(1)).alias("n")), "speed", F.col("n"))
+    return d.join(speeds, d["speed"].eqNullSafe(speeds["speed"])).select("run", "line", (F.col("off") + 1).alias("place"))
 
 
 @query(LOG + " SELECT seq_len, max(tok_s) AS tok_s FROM g WHERE NOT skipped AND NOT spike GROUP BY seq_len")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from garimpo.functions.text import text_fallback
 from garimpo.operators import packing as P
-from garimpo.plans.prefix import running_offset
+from garimpo.plans.prefix import running_offset, running_rank
 from garimpo.plans.registry import query, table, texts
 from garimpo.plans.text_queries import WORDS
 
@@ -71,8 +70,8 @@ def exact_sample(spark, folder):
     return _budget(spark, folder).select("doc_id", F.md5(F.array_join(body, ",")).alias("tokens_md5"))
 
 
-SPILL = BUDGET + (
-    ", s AS (SELECT *, unnest(generate_series(off // 4096, (off + written - 1) // 4096)) AS k FROM b), p AS (SELECT doc_id, source, ids, off, written, k AS shard_id, "
+SPILL = OFF + (
+    ", b AS (SELECT *, (n + 1)::BIGINT AS written FROM o), s AS (SELECT *, unnest(generate_series(off // 4096, (off + written - 1) // 4096)) AS k FROM b), p AS (SELECT doc_id, source, ids, off, written, k AS shard_id, "
     "greatest(off, k * 4096) - k * 4096 AS shard_pos, greatest(off, k * 4096) - off AS frm, least(off + written, (k + 1) * 4096) - greatest(off, k * 4096) AS n_part FROM s)"
 )
 
@@ -247,15 +246,26 @@ def unit_grid(spark, folder):
 
 @query(GRID + " SELECT shard_id, unnest(generate_series(first_unit, first_unit + n_units - 1)) AS unit FROM g WHERE n_units > 0")
 def unit_to_shard(spark, folder):
-    g = _grid(spark, folder)
-    n = g.agg(F.coalesce(F.sum("n_units"), F.lit(0))).first()[0]
-    units = spark.range(n).withColumnRenamed("id", "unit")
-    return units.join(F.broadcast(g), (F.col("unit") >= F.col("first_unit")) & (F.col("unit") < F.col("first_unit") + F.col("n_units"))).select("shard_id", "unit")  # one row a shard
+    return P.units(_grid(spark, folder)).select("shard_id", "unit")
 
 
-@query()
+EPOCHS = GRID + (
+    ", s AS (SELECT shard_id, first_unit, unnest(generate_series(first_unit, first_unit + n_units - 1)) AS unit FROM g WHERE n_units > 0), "
+    "p AS (SELECT e.epoch, s.*, row_number() OVER (PARTITION BY e.epoch ORDER BY md5('42-' || e.epoch || '-8192:' || unit)) - 1 AS place, count(*) OVER (PARTITION BY e.epoch) AS total FROM s, (SELECT unnest([0, 1]) AS epoch) e), "
+    "w AS (SELECT epoch, (place * 2 + k) // 4 AS batch, (place * 2 + k) % 4 AS row, shard_id, (unit - first_unit) * 8192 + k * 4096 AS start, total * 2 // 4 AS n_batches FROM p, (SELECT unnest([0, 1]) AS k))"
+)
+
+
+@query(EPOCHS + " SELECT epoch::BIGINT AS epoch, batch::BIGINT AS batch, row::BIGINT AS row, shard_id, start::BIGINT AS start FROM w WHERE batch < n_batches")
 def epoch_windows(spark, folder):
-    return P.windows_of_epoch(_grid(spark, folder), 42, 0, 8192, 4096, 4)
+    """Two epochs, each with its own permutation of the units."""
+    return P.windows_of_epochs(_grid(spark, folder), 42, 2, 8192, 4096, 4)
+
+
+@query(EPOCHS + " SELECT epoch::BIGINT AS epoch, batch::BIGINT AS batch, row::BIGINT AS row, shard_id, start::BIGINT AS start FROM w WHERE batch < n_batches AND (epoch = 1 OR batch >= 7)")
+def resume_windows(spark, folder):
+    """What is left of two epochs for a reader that stopped before batch 7 of the first one."""
+    return P.after_state(P.windows_of_epochs(_grid(spark, folder), 42, 2, 8192, 4096, 4), epoch=0, batch=7)
 
 
 @query("SELECT coalesce(min_by(eos_id, shard_id), 0) AS eos_id FROM shard_index WHERE shard_id = (SELECT min(shard_id) FROM shard_index)")
@@ -264,10 +274,10 @@ def eos_from_sidecar(spark, folder):
     return first.select(F.coalesce("e", F.lit(0)).alias("eos_id"))
 
 
-@query("SELECT step, CAST(ceil(step / 4.0) * 2 AS BIGINT) AS position FROM train_log WHERE run = 'b0_8_main'")
+@query("SELECT run, line, step, CAST(ceil(step / 4.0) * 2 AS BIGINT) AS position FROM train_log")
 def stage_switch(spark, folder):
-    t = table(spark, folder, "train_log").filter("run = 'b0_8_main'")
-    return t.select("step", P.after_stage_switch(F.col("step"), F.lit(4), F.lit(2)).alias("position"))
+    t = table(spark, folder, "train_log")
+    return t.select("run", "line", "step", P.after_stage_switch(F.col("step"), F.lit(4), F.lit(2)).alias("position"))
 
 
 @query("SELECT unnest([floor(i * 24 / 7.0)::BIGINT for i in range(7)]) AS block")
@@ -277,8 +287,8 @@ def spread_selection(spark, folder):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, source FROM documents WHERE source IS NOT NULL")
 def source_order(spark, folder):
-    d = table(spark, folder, "documents").filter("source is not null")
-    return d.select("doc_id", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("k"), "source")
+    d = table(spark, folder, "documents").filter("source is not null").select("doc_id", "source")
+    return running_rank(d, "source", "doc_id", "k").select("doc_id", "k", "source")
 
 
 @query("SELECT seq, length(coalesce(nullif(text, ''), nullif(content, ''), nullif(raw_content, ''), ''))::BIGINT AS n FROM raw_docs ORDER BY seq LIMIT 50")

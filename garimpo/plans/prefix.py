@@ -20,3 +20,18 @@ def running_offset(df: DataFrame, order: str, value: Column, out: str = "off") -
     begins = totals.select("_p", F.coalesce(F.sum("_t").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     within = F.sum("_v").over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_v")
     return placed.withColumn(out, within).join(F.broadcast(begins), "_p").withColumn(out, F.col(out) + F.col("_b")).drop("_p", "_b", "_v")  # one row a partition
+
+
+def running_rank(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
+    """``df`` with the place, from 1, of each row in its group, in order of the column ``order`` (unique in a group).
+
+    A group may hold any share of the rows: they are range-partitioned by (group, order), so that a large group lies in
+    several partitions; each is counted on its own, and how many rows of a group the partitions before hold (one row a
+    group and partition) gives where its count begins there.
+    """
+    placed = materialize(df.repartitionByRange(F.col(group), F.col(order)).withColumn("_p", F.spark_partition_id()), "placed")
+    counts = placed.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_t"))
+    begins = counts.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    within = F.row_number().over(W.partitionBy("_p", group).orderBy(order))
+    both = placed.withColumn(out, within).join(begins, (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g")))
+    return both.withColumn(out, (F.col(out) + F.col("_b")).cast("bigint")).drop("_p", "_q", "_g", "_b")

@@ -12,9 +12,10 @@ from garimpo.operators import mixing as M
 from garimpo.operators import packing as P
 from garimpo.operators import quality as Q
 from garimpo.plans.materialize import shared_dir
-from garimpo.plans.packing_queries import placed
+from garimpo.plans.packing_queries import SPILL, placed
 from garimpo.plans.pipeline import prepare
 from garimpo.plans.registry import query, table, texts
+from garimpo.plans.text_queries import EFFECTIVE, sql_legacy
 from garimpo.sources import files, shards
 
 
@@ -39,9 +40,10 @@ def source_registry(spark, folder):
     return u.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE source = 'pt_hq'")
+@query(rf"SELECT doc_id, n_chars FROM documents WHERE nullif(regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g'), '') = 'pt_hq'")
 def scan_documents(spark, folder):
-    return table(spark, folder, "documents").filter("source = 'pt_hq'").select("doc_id", "n_chars")
+    """One source, in any spelling of its name."""
+    return table(spark, folder, "documents").filter(canonical_source(F.col("source")) == "pt_hq").select("doc_id", "n_chars")
 
 
 @query("SELECT md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
@@ -85,7 +87,7 @@ def sidecar_check(spark, folder):
     return table(spark, folder, "shard_index").select("shard_id", (F.coalesce(F.col("dtype") == "uint32", F.lit(False)) & (F.col("n_tokens") > 0)).alias("valid"))
 
 
-@query()
+@query(SPILL + ", f AS (SELECT shard_id, unnest((ids || [1::BIGINT])[frm + 1:frm + n_part]) AS t FROM p) SELECT shard_id::INT AS shard_id, count(*)::BIGINT AS n_tokens, sum(t)::BIGINT AS id_sum FROM f GROUP BY shard_id")
 def shard_round_trip(spark, folder):
     """Shards written in the binary format and read back."""
     path = _local(_place(spark, "shards"))
@@ -118,14 +120,14 @@ def synthetic_shard(spark, folder):
     return d.select("doc", "n", (F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x) + 1).alias("id_sum"))
 
 
-@query("SELECT seq FROM (SELECT seq, trim(coalesce(nullif(text, ''), nullif(content, ''))) AS t FROM raw_docs) WHERE length(t) > 500")
+@query(f"WITH {sql_legacy('seq', EFFECTIVE, 'true', 'raw_docs')} SELECT seq FROM legacy WHERE passed")
 def pt_quality_stream(spark, folder):
     """Effective texts that pass the legacy filter for Portuguese."""
     t = text_fallback(F.col("text"), F.col("content"), F.col("raw_content"))
     return texts(spark, folder, "raw_docs").filter(Q.legacy_quality(t, F.lit(True))).select("seq")
 
 
-@query("SELECT vec_id FROM embeddings WHERE coalesce(label >= 3, true) AND len(embedding) = 64")
+@query(f"WITH {sql_legacy('doc_id', 'text', 'false', 'documents')} SELECT doc_id FROM legacy LEFT JOIN embeddings ON vec_id = doc_id WHERE passed AND coalesce(label >= 3, true)")
 def edu_quality_stream(spark, folder):
     """Texts whose score is 3 or more, or missing, that pass the legacy filter; the score is the label of the vector with the document's number."""
     scores = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("score"))
@@ -133,7 +135,10 @@ def edu_quality_stream(spark, folder):
     return d.filter(Q.score_filter(F.col("score"))).filter(Q.legacy_quality(F.col("text"), F.lit(False))).select("doc_id")
 
 
-@query("SELECT event_id, event_type, ('0x' || md5(event_id::VARCHAR)[1:4])::BIGINT AS h FROM events WHERE user_id % 3 = 0")
+TURNS = "WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events)"
+
+
+@query(TURNS + " SELECT a.user_id, a.turn, a.event_id AS prompt_id, a.event_type AS prompt, b.event_id AS response_id, b.event_type AS response FROM o a JOIN o b ON a.user_id = b.user_id AND b.turn = a.turn + 1")
 def prompt_response_pairs(spark, folder):
     """Each event of a user (prompt) with the user's next one (response), over all rows."""
     o = table(spark, folder, "events").select("user_id", "event_id", "event_type", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("turn"))
@@ -142,10 +147,7 @@ def prompt_response_pairs(spark, folder):
     return a.join(b, ["user_id", "turn"])
 
 
-SFT = "WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events)"
-
-
-@query(SFT + " SELECT a.user_id, a.turn, a.event_type || '>' || b.event_type AS pair FROM o a JOIN o b ON a.user_id = b.user_id AND b.turn = a.turn + 1")
+@query(TURNS + " SELECT a.user_id, a.turn, a.event_type || '>' || b.event_type AS pair FROM o a JOIN o b ON a.user_id = b.user_id AND b.turn = a.turn + 1")
 def sft_pairs(spark, folder):
     """Each turn with the next one of its conversation, by an equi-join on (conversation, turn)."""
     o = table(spark, folder, "events").select("user_id", "event_type", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("turn"))
@@ -159,8 +161,7 @@ def uniform_weights(spark, folder):
     return spark.createDataFrame(list(M.check_weights(names, None).items()), "source string, weight double")
 
 
-_W = {"pt_web": 0.65, "pt_hq": 0.1, "en_edu": 0.15, "code": 0.1}
-_CASE = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _W.items()) + " END"
+CANONICAL = r"nullif(regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g'), '')"
 
 
 def _mixable(spark, folder):
@@ -171,7 +172,7 @@ def _mixable(spark, folder):
     return d.filter(F.col("source").isin(list(weights))), weights
 
 
-@query(f"SELECT doc_id, source, round(row_number() OVER (PARTITION BY source ORDER BY doc_id) / {_CASE}::DOUBLE, 6) AS pace FROM documents WHERE source IN ('pt_web', 'pt_hq', 'en_edu', 'code')")
+@query(f"SELECT doc_id, d.source, round(row_number() OVER (PARTITION BY d.source ORDER BY doc_id) / weight, 6) AS pace FROM (SELECT doc_id, {CANONICAL} AS source FROM documents) d JOIN (SELECT {CANONICAL} AS source, weight FROM mix_targets) m ON m.source = d.source")
 def weighted_mix(spark, folder):
     d, weights = _mixable(spark, folder)
     return M.interleave(d, "source", "doc_id", weights).select("doc_id", "source", F.round("pace", 6).alias("pace"))

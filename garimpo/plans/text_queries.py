@@ -218,7 +218,20 @@ def rejection_counts(spark, folder):
 _SHORT = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS_PT_SHORT) + "]"
 
 
-@query()
+def sql_legacy(key: str, text: str, is_pt: str, source: str) -> str:
+    """CTE ``legacy`` with key and ``passed``; a character that stands nine times in a row takes the place of a back-reference."""
+    ends, punct = f"'^{WS}+|{WS}+$'", r"'^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$'"
+    return (
+        f"q0 AS (SELECT {key}, regexp_replace(coalesce({text}, ''), {ends}, '', 'g') AS c, {is_pt} AS pt FROM {source}), "
+        f"q1 AS (SELECT *, {WORDS('c')} AS w, list_filter(list_transform(regexp_split_to_array(c, '{X.LINE_BREAK}'), lambda x: regexp_replace(x, {ends}, '', 'g')), lambda x: x <> '') AS l FROM q0), "
+        f"legacy AS (SELECT {key}, length(c) BETWEEN 150 AND 100000 AND len(list_filter(list_distinct(string_split(c, '')), lambda x: x <> chr(10) AND contains(c, repeat(x, 9)))) = 0 "
+        "AND NOT (len(l) >= 6 AND len(list_distinct(l)) / len(l) < 0.6) AND len(w) >= 20 "
+        rf"AND length(regexp_replace(c, '[\p{{L}}\p{{N}}]|{WS}', '', 'g')) / greatest(length(c), 1) <= 0.35 "
+        f"AND NOT (pt AND len(list_filter(list_transform(w[1:100], lambda x: regexp_replace(lower(x), {punct}, '', 'g')), lambda x: list_contains({_SHORT}, x))) < 3) AS passed FROM q1)"
+    )
+
+
+@query(f"WITH {sql_legacy('doc_id', 'text', 'coalesce(is_pt, false)', 'documents')} SELECT doc_id, passed FROM legacy")
 def legacy_quality(spark, folder):
     d = _docs(spark, folder)
     return d.select("doc_id", Q.legacy_quality(F.col("text"), F.coalesce("is_pt", F.lit(False))).alias("passed"))
@@ -268,6 +281,12 @@ def dedup_greedy(spark, folder):
     return D.greedy_dedup(_seq_text(spark, folder)).select("seq")
 
 
+@query()
+def dedup_ring(spark, folder):
+    """What a pass keeps that compares each record with the last 1,000 kept ones only."""
+    return D.windowed_dedup(_seq_text(spark, folder), 1000).select("seq")
+
+
 @query()
 def candidate_union(spark, folder):
     return D.candidates(D.distinct_signatures(D.signatures(_seq_text(spark, folder))))
@@ -285,10 +304,7 @@ def train_admission(spark, folder):
     return D.train_admission(_docs(spark, folder).select(F.col("doc_id").alias("seq"), "text"), val).select(F.col("seq").alias("doc_id"))
 
 
-_HASHED = "list_transform({}, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 97)"
-
-
-@query(f"WITH s AS (SELECT doc_id, {_HASHED.format(TOKENS('text') + '[1:16]')} AS s FROM documents WHERE len({TOKENS('text')}) >= 16) SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_filter(generate_series(1, 16), lambda i: a.s[i] = b.s[i])) / 16.0, 6) AS similarity FROM s a JOIN s b ON b.doc_id = a.doc_id + 1")
+@query()
 def signature_similarity(spark, folder):
     """Similarity of all pairs of documents that share a band of their MinHash signatures; equal signatures share all."""
     sigs = materialize(D.signatures(_docs(spark, folder).select(F.col("doc_id").alias("seq"), "text")), "all-signatures")

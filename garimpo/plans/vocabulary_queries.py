@@ -22,7 +22,6 @@ def _v(spark, folder):
 
 EDGES = "e0 AS (SELECT left_token || right_token AS token, left_token, right_token, row_number() OVER (PARTITION BY left_token || right_token ORDER BY merge_rank DESC) AS k FROM merges), e AS (SELECT token, left_token AS parent FROM e0 WHERE k = 1 UNION SELECT token, right_token FROM e0 WHERE k = 1)"
 CLOSURE = f"WITH RECURSIVE {EDGES}, a AS (SELECT token, parent AS ancestor FROM e UNION SELECT a.token, e.parent FROM a JOIN e ON e.token = a.ancestor)"
-SELECTED = "s AS (SELECT token, id FROM vocab WHERE id < 1500)"
 FREQUENCY = "('0x' || substr(md5(token), 1, 6))::BIGINT % 1000"
 
 
@@ -59,7 +58,7 @@ def _selected(spark, folder):
     return materialize(_v(spark, folder).join(select_vocab(spark, folder), "token", "left_semi"), "selected")
 
 
-@query(f"WITH {SELECTED} SELECT merge_rank, left_token, right_token FROM merges WHERE left_token || right_token IN (SELECT token FROM s) AND left_token IN (SELECT token FROM s) AND right_token IN (SELECT token FROM s)")
+@query()
 def pruned_merges(spark, folder):
     return V.pruned_merges(_m(spark, folder), _selected(spark, folder))
 
@@ -69,17 +68,17 @@ def byte_protected(spark, folder):
     return _v(spark, folder).filter("length(token) = 1").join(_m(spark, folder).select(F.concat("left_token", "right_token").alias("token")), "token", "left_anti").select("token", "id")
 
 
-@query("SELECT token FROM vocab WHERE id < 300 INTERSECT SELECT left_token FROM merges")
+@query()
 def protected_vocab(spark, folder):
     return _selected(spark, folder).select("token").intersect(_m(spark, folder).select("left_token"))
 
 
-@query("SELECT token, id AS old_id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM vocab WHERE id % 2 = 0")
+@query()
 def contiguous_ids(spark, folder):
     return V.contiguous_ids(_selected(spark, folder))
 
 
-@query("WITH n AS (SELECT token, row_number() OVER (ORDER BY id) - 1 AS new_id FROM vocab WHERE id % 2 = 0) SELECT v.id AS old_id, coalesce(n.new_id, -1) AS new_id FROM vocab v LEFT JOIN n USING (token)")
+@query()
 def vocab_remap(spark, folder):
     return V.remap(_v(spark, folder), V.contiguous_ids(_selected(spark, folder)))
 
