@@ -128,11 +128,6 @@ def perplexity(spark, folder):
     return _log(spark, folder).filter("loss is not null").select("run", "line", F.round(R.perplexity(F.col("loss")), 3).alias("perplexity"))
 
 
-@query(LOG + " SELECT run, line, round(5.7e9 * tok_s / 1.65e14, 6) AS mfu FROM g")
-def mfu(spark, folder):
-    return _log(spark, folder).select("run", "line", F.round(F.lit(5.7e9) * F.col("tok_s") / F.lit(1.65e14), 6).alias("mfu"))
-
-
 @query(LOG + " SELECT run, line, rank() OVER (ORDER BY skipped, tok_s DESC NULLS LAST) AS place FROM g")
 def bench_rank(spark, folder):
     """Fastest lines first, skipped ones last; places are running counts over ranges of speeds, not a window in one task."""
@@ -201,13 +196,6 @@ def bench_grid(spark, folder):
     return g.filter("not (policy = 'full' and fraction = 1.0)")
 
 
-@query("SELECT a.shard_id, a.dtype AS saved, b.dtype AS current FROM shard_index a JOIN shard_index b ON b.shard_id = a.shard_id + 1 WHERE a.dtype IS DISTINCT FROM b.dtype")
-def config_diff(spark, folder):
-    s = table(spark, folder, "shard_index")
-    a, b = s.select("shard_id", F.col("dtype").alias("saved")), s.select((F.col("shard_id") - 1).alias("shard_id"), F.col("dtype").alias("current"))
-    return a.join(b, "shard_id").filter(~F.col("saved").eqNullSafe(F.col("current")))
-
-
 @query("SELECT shard_id, concat_ws(', ', 'dtype=' || coalesce(dtype, 'none'), 'unit=' || coalesce(unit_len::VARCHAR, 'none')) AS description FROM shard_index")
 def config_description(spark, folder):
     return table(spark, folder, "shard_index").select("shard_id", F.concat_ws(", ", F.concat(F.lit("dtype="), F.coalesce("dtype", F.lit("none"))), F.concat(F.lit("unit="), F.coalesce(F.col("unit_len").cast("string"), F.lit("none")))).alias("description"))

@@ -29,9 +29,9 @@ def running_rank(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
     several partitions; each is counted on its own, and how many rows of a group the partitions before hold (one row a
     group and partition) gives where its count begins there.
     """
-    placed = materialize(df.repartitionByRange(F.col(group), F.col(order)).withColumn("_p", F.spark_partition_id()), "placed")
-    counts = placed.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_t"))
-    begins = counts.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    within = F.row_number().over(W.partitionBy("_p", group).orderBy(order))
-    both = placed.withColumn(out, within).join(begins, (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g")))
-    return both.withColumn(out, (F.col(out) + F.col("_b")).cast("bigint")).drop("_p", "_q", "_g", "_b")
+    placed = materialize(df.repartitionByRange(F.col(group), F.col(order)).withColumn("_rank_p", F.spark_partition_id()), "placed")
+    counts = placed.groupBy(group, "_rank_p").agg(F.count(F.lit(1)).alias("_rank_t"))
+    begins = counts.select(F.col(group).alias("_rank_group"), F.col("_rank_p").alias("_rank_q"), F.coalesce(F.sum("_rank_t").over(W.partitionBy(group).orderBy("_rank_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_rank_b"))
+    within = F.row_number().over(W.partitionBy("_rank_p", group).orderBy(order))
+    both = placed.withColumn(out, within).join(begins, (F.col("_rank_p") == F.col("_rank_q")) & F.col(group).eqNullSafe(F.col("_rank_group")))
+    return both.withColumn(out, (F.col(out) + F.col("_rank_b")).cast("bigint")).drop("_rank_p", "_rank_q", "_rank_group", "_rank_b")

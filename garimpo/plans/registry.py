@@ -39,6 +39,6 @@ def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import all modules that register queries."""
-    from garimpo.plans import log_queries, packing_queries, relational_queries, source_queries, text_queries, vocabulary_queries  # noqa: F401
+    from garimpo.plans import log_queries, packing_queries, relational_queries, source_queries, text_queries, tokenizer_queries, vocabulary_queries  # noqa: F401
 
 

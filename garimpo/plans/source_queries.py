@@ -189,14 +189,6 @@ def reservoir(spark, folder):
     return M.sample(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id", 100)
 
 
-@query("WITH r AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) AS k FROM documents WHERE n_chars > 0), o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r) SELECT doc_id, least(n, 20000 - off)::BIGINT AS n FROM o WHERE off < 20000")
-def sample_lengths(spark, folder):
-    """Lengths in pseudo-random order until their total is exact; the prefix sum runs over the candidates of a bounded sample."""
-    d = M.sample(table(spark, folder, "documents").filter("n_chars > 0").select("doc_id", F.col("n_chars").alias("n")), "doc_id", 20_000, "7")
-    w = W.orderBy(M.hash_order(F.col("doc_id"), "7"), "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    return d.withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("off < 20000").select("doc_id", F.least("n", 20_000 - F.col("off")).alias("n"))
-
-
 @query("SELECT shard_id, md5('42-0-8192:' || shard_id) AS rank_key FROM shard_index")
 def epoch_permutation(spark, folder):
     return M.permutation(table(spark, folder, "shard_index"), "shard_id", "42-0-8192").select("shard_id", "rank_key")

@@ -53,14 +53,14 @@ def select_vocab(spark, folder):
     return V.select(_v(spark, folder), _m(spark, folder), _frequencies(spark, folder), _protected(spark, folder), 1000)
 
 
-def _selected(spark, folder):
+def selected(spark, folder):
     """(token, id) of the selected vocabulary; a written table."""
     return materialize(_v(spark, folder).join(select_vocab(spark, folder), "token", "left_semi"), "selected")
 
 
 @query()
 def pruned_merges(spark, folder):
-    return V.pruned_merges(_m(spark, folder), _selected(spark, folder))
+    return V.pruned_merges(_m(spark, folder), selected(spark, folder))
 
 
 @query("SELECT token, id FROM vocab WHERE length(token) = 1 AND token NOT IN (SELECT left_token || right_token FROM merges)")
@@ -70,17 +70,17 @@ def byte_protected(spark, folder):
 
 @query()
 def protected_vocab(spark, folder):
-    return _selected(spark, folder).select("token").intersect(_m(spark, folder).select("left_token"))
+    return selected(spark, folder).select("token").intersect(_m(spark, folder).select("left_token"))
 
 
 @query()
 def contiguous_ids(spark, folder):
-    return V.contiguous_ids(_selected(spark, folder))
+    return V.contiguous_ids(selected(spark, folder))
 
 
 @query()
 def vocab_remap(spark, folder):
-    return V.remap(_v(spark, folder), V.contiguous_ids(_selected(spark, folder)))
+    return V.remap(_v(spark, folder), V.contiguous_ids(selected(spark, folder)))
 
 
 @query(f"SELECT token, {FREQUENCY} AS freq, row_number() OVER (ORDER BY {FREQUENCY} DESC, id) AS place FROM vocab")
@@ -117,16 +117,3 @@ def unk_rate(spark, folder):
     f = materialize(frequencies(spark, folder).withColumnRenamed("token", "old_id"), "frequencies")
     m = V.frequency_remap(f, EOS, 1000).join(f, "old_id")
     return m.agg(F.round(F.sum(F.when(F.col("new_id") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("unk_rate"))
-
-
-@query(DOC + " SELECT source, round(sum(length(text)) / sum(n), 6) AS fertility FROM (SELECT t.source, d2.text, t.n FROM t JOIN documents d2 USING (doc_id)) GROUP BY source HAVING sum(n) > 0")
-def fertility(spark, folder):
-    d = table(spark, folder, "documents").select(F.coalesce("source", F.lit("unknown")).alias("source"), F.length("text").alias("k"), F.size(whitespace_words(F.col("text"))).alias("n"))
-    return d.groupBy("source").agg(F.round(V.fertility(F.col("k"), F.col("n")), 6).alias("fertility")).filter("fertility is not null")
-
-
-@query(DOC + ", x AS (SELECT sum(n) / sum(n) AS base, sum(n + 1) / sum(n) AS pruned FROM t) SELECT round(pruned / base, 6) AS ratio, round((pruned / base - 1) * 100, 6) AS degradation, pruned / base <= 1.03 + 1e-9 AS passed FROM x")
-def fertility_gate(spark, folder):
-    n = F.size("ids")
-    x = docs(spark, folder).agg(V.fertility(n, n).alias("base"), V.fertility(n + 1, n).alias("pruned")).select(V.fertility_gate(F.col("base"), F.col("pruned")).alias("g"))
-    return x.select(F.round("g.ratio", 6).alias("ratio"), F.round("g.degradation", 6).alias("degradation"), F.col("g.passed").alias("passed"))
