@@ -41,6 +41,40 @@ def signature(tokens: list[str], num_perm: int = 128, seed: int = 42) -> np.ndar
     return out
 
 
+def older_signature(text: str, size: int = 5, num_perm: int = 64, seed: int = 42) -> np.ndarray:
+    """The older MinHash: xxHash-64 of the character n-grams of the normalized text, ``a * h + b`` modulo 2^64, then modulo 2^61 - 1."""
+    import xxhash
+
+    plain = " ".join(text.lower().split())
+    if not plain:
+        return np.zeros(num_perm, np.uint64)
+    prime = (1 << 61) - 1
+    rng = np.random.RandomState(seed)  # the order of these two draws is fixed
+    a = rng.randint(1, prime, size=(num_perm, 1), dtype=np.uint64)
+    b = rng.randint(0, prime, size=(num_perm, 1), dtype=np.uint64)
+    grams = {plain[i : i + size] for i in range(max(1, len(plain) - size + 1))}
+    h = np.fromiter((xxhash.xxh64_intdigest(g.encode()) for g in grams), np.uint64, len(grams))
+    out = np.full(num_perm, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 4096):
+        out = np.minimum(out, ((a * h[i : i + 4096] + b) % np.uint64(prime)).min(axis=1))
+    return out
+
+
+def older_signatures(docs: DataFrame, size: int = 5, num_perm: int = 64, seed: int = 42) -> DataFrame:
+    """(seq, signature) of ``docs(seq, text)`` by ``older_signature``; texts without words have none."""
+
+    def sign(batches):
+        for b in batches:
+            at, sigs = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if t and t.strip():
+                    at.append(i)
+                    sigs.append(older_signature(t, size, num_perm, seed).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["seq", "signature"])
+
+    return docs.select("seq", "text").mapInArrow(sign, "seq bigint, signature array<bigint>")
+
+
 def shingles(text: str, n: int) -> list[str]:
     w = text.split()
     return w if len(w) < n else [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]

@@ -43,10 +43,10 @@ def shard_parts(placed: DataFrame, size: int, first: int = 0, n: str = "written"
     return parts.select(*placed.columns, (F.col("_k") + first).alias("shard_id"), (begin - F.col("_k") * size).alias("shard_pos"), (begin - F.col("off")).alias("from"), (end - begin).alias("n_part")).drop("_k")
 
 
-def shard_tokens(parts: DataFrame, ids: str, eos: int) -> DataFrame:
-    """(shard_id, shard_pos, tokens): each part's tokens, the end mark being the last written one of its document."""
+def shard_tokens(parts: DataFrame, ids: str, eos: int, source: str | None = None) -> DataFrame:
+    """(shard_id, shard_pos, tokens): each part's tokens, the end mark being the last written one of its document; with its ``source`` if named."""
     body = F.concat(F.slice(F.col(ids), 1, (F.col("written") - 1).cast("int")), F.array(F.lit(eos).cast("bigint")))
-    return parts.select("shard_id", "shard_pos", let(body, lambda b: F.slice(b, (F.col("from") + 1).cast("int"), F.col("n_part").cast("int"))).alias("tokens"))
+    return parts.select("shard_id", "shard_pos", let(body, lambda b: F.slice(b, (F.col("from") + 1).cast("int"), F.col("n_part").cast("int"))).alias("tokens"), *([F.col(source).alias("source")] if source else []))
 
 
 def sidecars(parts: DataFrame, source: str, eos: int, unit_len: int) -> DataFrame:

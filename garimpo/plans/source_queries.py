@@ -11,12 +11,15 @@ from garimpo.functions.text import canonical_source, text_fallback
 from garimpo.operators import mixing as M
 from garimpo.operators import packing as P
 from garimpo.operators import quality as Q
-from garimpo.plans.materialize import shared_dir
-from garimpo.plans.packing_queries import SPILL, placed
+from garimpo.plans.materialize import materialize, shared_dir
+from garimpo.operators.tokenizer import decode
+from garimpo.plans.packing_queries import DOC as IDS_SQL
+from garimpo.plans.packing_queries import SPILL, docs, placed
 from garimpo.plans.pipeline import prepare
+from garimpo.plans.prefix import running_offset
 from garimpo.plans.registry import query, table, texts
 from garimpo.plans.text_queries import EFFECTIVE, sql_legacy
-from garimpo.sources import files, shards
+from garimpo.sources import files, generators, shards
 
 
 def _place(spark, name):
@@ -62,9 +65,12 @@ def scan_with_file(spark, folder):
     return got.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.contains("file", F.lit(path.rsplit("/", 1)[1]))).alias("same_folder"))
 
 
-@query("SELECT shard_id, coalesce(regexp_full_match(sha256, '[0-9a-f]{64}'), false) AS pinned FROM shard_index")
+@query("SELECT shard_id, revision, coalesce(regexp_full_match(revision, '[0-9a-f]{40}'), false) AS pinned FROM (SELECT shard_id, unnest([sha256, left(sha256, 40), left(sha256, 7), upper(left(sha256, 40)), 'main']) AS revision FROM shard_index)")
 def sha_pinned(spark, folder):
-    return table(spark, folder, "shard_index").select("shard_id", F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)).alias("pinned"))
+    """Which of several ways to name a revision pin it: a full lower-case commit hash only."""
+    h = F.col("sha256")
+    d = table(spark, folder, "shard_index").select("shard_id", F.explode(F.array(h, F.substring(h, 1, 40), F.substring(h, 1, 7), F.upper(F.substring(h, 1, 40)), F.lit("main"))).alias("revision"))
+    return d.withColumn("pinned", files.pinned(F.col("revision")))
 
 
 @query("SELECT run, count(*)::BIGINT AS n, count(loss)::BIGINT AS n_loss FROM train_log GROUP BY run")
@@ -97,13 +103,31 @@ def shard_round_trip(spark, folder):
     return got.groupBy(F.regexp_extract("path", r"shard_(\d+)", 1).cast("int").alias("shard_id")).agg(F.sum(F.size("tokens")).alias("n_tokens"), F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("id_sum"))
 
 
-_MOCK = "['a história', 'a ciência', 'a música', 'o direito', 'a saúde', 'o esporte', 'a economia', 'a arte']"
+def _sql_list(words):
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
 
 
-@query(f"SELECT range AS id, 'Documento ' || range || ' sobre ' || {_MOCK}[(range % 8) + 1] || '.' AS text FROM range(1000)")
+def _sql_pick(words, step):
+    return f"{_sql_list(words)}[({step}) % {len(words)} + 1]"
+
+
+def _sql_mock(kind, k):
+    if kind == "code":
+        n = "(range * 12 + j)"
+        name, over, sign = (_sql_pick(w, f"{n} // {d}") for w, d in zip(generators.CODE, (1, 2, 3)))
+        one, sep = f"'def f' || {n} || '(' || {over} || '):\n    ' || {name} || ' = 0\n    for x in ' || {over} || ':\n        ' || {name} || ' = ' || {name} || ' ' || {sign} || ' x\n    return ' || {name} || '\n'", "chr(10)"
+    else:
+        n = "(range * 7 + j)"
+        one, sep = " || ' ' || ".join(_sql_pick(w, f"{n} // {d}") for w, d in zip(generators.PHRASES[kind], (1, 2, 3))) + " || '.'", "' '"
+    whole = f"md5(array_to_string(list_transform(generate_series(0, 11), lambda j: {one}), {sep}))"
+    return f"SELECT range * 4 + {k} AS seq, '{kind}' AS source, {whole} AS text_md5, {str(kind == 'code').lower()} AS in_content FROM range(500)"
+
+
+@query(" UNION ALL ".join(_sql_mock(kind, k) for k, kind in enumerate([*generators.PHRASES, "code"])))
 def mock_sources(spark, folder):
-    topics = F.array(*(F.lit(t.strip(" '")) for t in _MOCK[1:-1].split(",")))
-    return spark.range(1000).select("id", F.concat(F.lit("Documento "), "id", F.lit(" sobre "), F.element_at(topics, (F.col("id") % 8 + 1).cast("int")), F.lit(".")).alias("text"))
+    """500 made-up records of each of four kinds; code stands under another key."""
+    m = generators.mock_records(spark, 500)
+    return m.select("seq", F.col("_source").alias("source"), F.md5(F.coalesce("text", "content")).alias("text_md5"), F.col("content").isNotNull().alias("in_content"))
 
 
 @query("SELECT range AS id, 'Quanto é ' || range || ' + ' || range * 3 || ' - ' || range % 7 || '?' AS prompt, (range * 4 - range % 7)::VARCHAR AS chosen, (range * 4 + range % 7)::VARCHAR AS rejected FROM range(500)")
@@ -204,6 +228,37 @@ def pipeline_stats(spark, folder):
     return _prepared(spark, folder).stats()
 
 
+@query("SELECT true AS some, 0::BIGINT AS n_different")
+def pipeline_decodes(spark, folder):
+    """The preparation of the sources of ``mix_targets`` in their mixture under the byte-level tokenizer: do its ids spell the texts?"""
+    v, m = table(spark, folder, "vocab"), table(spark, folder, "merges")
+    _, weights = _mixable(spark, folder)
+    raw = texts(spark, folder, "raw_docs")
+    made = prepare(raw, 1 << 40, 1 << 20, tokenizer=(v, m), weights=weights, capacity=10_000)
+    back = decode(made.documents.select("seq", "ids"), v)
+    want = made.cleaned.select("seq", F.col("text").alias("before"))
+    return back.join(want, "seq").agg((F.count(F.lit(1)) > 0).alias("some"), F.count_if(~F.col("text").eqNullSafe(F.col("before"))).alias("n_different"))
+
+
+PAIRS = IDS_SQL + " , p AS (SELECT unnest(tokens) AS i, unnest(list_transform(generate_series(1, n + 1), lambda k: coalesce(tokens[k + 1], 65535))) AS o FROM t)"
+
+
+@query(PAIRS + " SELECT count(*)::BIGINT AS n_pairs, sum(i)::BIGINT AS input_sum, sum(o)::BIGINT AS target_sum FROM p")
+def paired_round_trip(spark, folder):
+    """Pairs of tokens and targets as 16-bit shards, written in two runs of which the second goes on behind the first."""
+    path = _local(_place(spark, "pairs"))
+    p = P.paired_sequence(F.col("ids"), 1)
+    d = docs(spark, folder).select("doc_id", F.flatten(F.transform(p, lambda x: F.array(x["input"], x["target"]))).alias("tokens"))
+    placed = running_offset(d, "doc_id", F.size("tokens")).withColumn("shard_id", F.floor(F.col("off") / 65_536).cast("int"))
+    placed = materialize(placed.withColumn("shard_pos", F.col("off") - F.min("off").over(W.partitionBy("shard_id"))).select("shard_id", "shard_pos", "tokens"), "paired")  # a shard has a fixed size
+    half = (placed.agg(F.max("shard_id")).first()[0] or 0) // 2
+    shards.append_shards(placed.filter(F.col("shard_id") <= half), path, 1, 1024, "uint16")
+    shards.append_shards(placed.filter(F.col("shard_id") > half).withColumn("shard_id", F.col("shard_id") - half - 1), path, 1, 1024, "uint16")
+    got = shards.read_shards(spark, path, dtype="uint16", block="1024")
+    one = got.select("path", F.posexplode("tokens").alias("k", "t"))
+    return one.agg(F.count_if(F.col("k") % 2 == 0).alias("n_pairs"), F.sum(F.when(F.col("k") % 2 == 0, F.col("t"))).alias("input_sum"), F.sum(F.when(F.col("k") % 2 == 1, F.col("t"))).alias("target_sum"))
+
+
 @query()
 def pipeline_shards(spark, folder):
     """Tokens of each shard of the whole preparation, in all and by source."""

@@ -271,6 +271,11 @@ def minhash_signature(spark, folder):
     return s.select("seq", F.md5(F.array_join("signature", ",")).alias("signature_md5"))
 
 
+@query()
+def older_minhash(spark, folder):
+    return D.older_signatures(_seq_text(spark, folder)).select("seq", F.md5(F.array_join("signature", ",")).alias("signature_md5"))
+
+
 @query()
 def near_dup_pairs(spark, folder):
     return D.similar_pairs(D.signatures(_seq_text(spark, folder)))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.functions.text import strip
@@ -38,6 +39,28 @@ def is_pinned(revision: str) -> bool:
     return bool(re.fullmatch(r"[0-9a-f]{40}", revision))
 
 
+def pinned(revision: Column) -> Column:
+    """``is_pinned`` of a column; false for null."""
+    return F.coalesce(revision.rlike("^[0-9a-f]{40}$"), F.lit(False))
+
+
+def write_sample(remap: DataFrame, lengths: DataFrame, folder: str, size: int, **meta) -> None:
+    """Beside a sample's shards: ``remap.npy`` (new id by old id, ``size`` entries), ``doc_lengths.json`` and ``meta.json``.
+
+    ``remap(old_id, new_id)`` has a vocabulary's size; ``lengths(length, n)`` one row for each length that occurs.
+    """
+    os.makedirs(folder, exist_ok=True)
+    table = np.full(size, 1, np.uint32)
+    for r in remap.collect():
+        table[r["old_id"]] = r["new_id"]
+    np.save(os.path.join(folder, "remap.npy"), table)
+    counts = {int(r["length"]): int(r["n"]) for r in lengths.orderBy("length").collect()}
+    with open(os.path.join(folder, "doc_lengths.json"), "w") as f:
+        json.dump(counts, f)
+    with open(os.path.join(folder, "meta.json"), "w") as f:
+        json.dump({**meta, "n_docs": sum(counts.values()), "n_tokens": sum(k * n for k, n in counts.items())}, f)
+
+
 def token_frequencies(spark: SparkSession, path: str, vocab: DataFrame) -> DataFrame:
     """(token, freq) from JSON (by token, by id as digits, or a list by id) or from ``.npy`` (by id)."""
     if path.endswith(".npy"):

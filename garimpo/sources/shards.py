@@ -3,7 +3,10 @@
 ``spark.read.format("token_shards").load(folder)`` gives (path, pos, tokens): blocks of tokens of each shard, one
 partition a shard, or for several small ones. Options: ``dtype`` (uint32 or uint16), ``block`` (tokens a row), ``check`` (false skips the sidecar).
 ``df.write.format("token_shards").mode("append").save(folder)`` takes (shard_id int, shard_pos bigint, tokens
-array<bigint>), each shard within one partition and in order; files appear under their names only when the job commits.
+array<bigint>, and optionally source string), each shard within one partition and in order; files appear under their
+names only when the job commits. The sidecar then also tells how many tokens each source has in the shard.
+
+Folders are paths that all executors and the driver see under the same name (a mounted shared folder).
 """
 
 from __future__ import annotations
@@ -109,17 +112,18 @@ class ShardWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         os.makedirs(self.folder, exist_ok=True)
-        done, now, out, digest, n = [], None, None, None, 0
+        done, now, out, digest, n, by = [], None, None, None, 0, {}
 
         def close():
             if out is not None:
                 out.close()
-                done.append((now, out.name, n, digest.hexdigest()))
+                done.append((now, out.name, n, digest.hexdigest(), by))
 
-        for shard, pos, tokens in ((r["shard_id"], r["shard_pos"], r["tokens"]) for r in rows):
+        for r in rows:
+            shard, pos, tokens = r["shard_id"], r["shard_pos"], r["tokens"]
             if shard != now:
                 close()
-                now, n, digest = shard, 0, hashlib.sha256()
+                now, n, digest, by = shard, 0, hashlib.sha256(), {}
                 out = open(os.path.join(self.folder, f".tmp-{uuid.uuid4().hex}"), "wb")
             if pos != n:
                 raise ValueError(f"shard {shard}: tokens at {pos} follow {n}")
@@ -130,6 +134,9 @@ class ShardWriter(DataSourceWriter):
             out.write(raw)
             digest.update(raw)
             n += len(x)
+            if "source" in r:
+                name = r["source"] or "unknown"
+                by[name] = by.get(name, 0) + len(x)
         close()
         return Written(done)
 
@@ -141,16 +148,16 @@ class ShardWriter(DataSourceWriter):
         if self.overwrite:
             for p in glob.glob(os.path.join(self.folder, "shard_*.*")):
                 os.remove(p)
-        for shard, temporary, n, digest in files:
+        for shard, temporary, n, digest, by in files:
             path = os.path.join(self.folder, f"shard_{shard:05d}.bin")
             os.replace(temporary, path)
             with open(temporary + ".json", "w") as f:
-                json.dump({"n_tokens": n, "dtype": self.dtype, **self.extra, "sha256": digest}, f)
+                json.dump({"n_tokens": n, "dtype": self.dtype, **self.extra, **({"sources": dict(sorted(by.items()))} if by else {}), "sha256": digest}, f)
             os.replace(temporary + ".json", sidecar_of(path))
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            for _, temporary, _, _ in m.files if m else []:
+            for _, temporary, *_ in m.files if m else []:
                 if os.path.exists(temporary):
                     os.remove(temporary)
 
@@ -179,11 +186,17 @@ def read_shards(spark: SparkSession, folder: str, **options) -> DataFrame:
     return spark.read.format("token_shards").options(**options).load(folder)
 
 
+def append_shards(tokens: DataFrame, folder: str, eos: int, unit_len: int, dtype: str = "uint32") -> None:
+    """``write_shards`` behind the shards that the folder has: ``tokens`` counts its own shards from 0."""
+    have = len(glob.glob(os.path.join(folder, "shard_*.bin")))
+    write_shards(tokens.withColumn("shard_id", (F.col("shard_id") + have).cast("int")), folder, eos, unit_len, dtype)
+
+
 def write_shards(tokens: DataFrame, folder: str, eos: int, unit_len: int, dtype: str = "uint32") -> None:
-    """Write ``tokens(shard_id, shard_pos, tokens)``: each shard in one task, small ones together, sorted within."""
+    """Write ``tokens(shard_id, shard_pos, tokens[, source])``: each shard in one task, small ones together, sorted within."""
     register(tokens.sparkSession)
     sizes = tokens.groupBy("shard_id").agg(F.sum(F.size("tokens")).alias("n"))
     n, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     tasks = min(n, total * WIDTH[dtype] // TASK_BYTES + 1)
     placed = tokens.repartition(max(tasks, 1), "shard_id").sortWithinPartitions("shard_id", "shard_pos")
-    placed.select("shard_id", "shard_pos", "tokens").write.format("token_shards").mode("append").options(eos_id=eos, unit_len=unit_len, dtype=dtype).save(folder)
+    placed.select("shard_id", "shard_pos", "tokens", *(["source"] if "source" in tokens.columns else [])).write.format("token_shards").mode("append").options(eos_id=eos, unit_len=unit_len, dtype=dtype).save(folder)
