@@ -4,7 +4,7 @@ Every document starts with the rate 1 and the rates move as little as possible (
 source's expected tokens reach its target. That makes them exponentially tilted, ``r = min(cap, exp(lambda_s * t))`` for
 a document of ``t`` tokens of source ``s``. The dual in the ``lambda_s`` is convex; each Newton iteration is one
 aggregation over the table of (source, size) counts and ends up with one row a source. The total is the largest one at
-which all targets can be met within the caps, or a given smaller one. Rates are rounded to copies by a hash of the document
+which all targets can be met within the caps, or a given smaller one; a given larger one is an error. Rates are rounded to copies by a hash of the document
 id; a threshold on the hash, found in two aggregations, makes a source's rounded total meet its target as closely as
 single documents allow.
 
@@ -107,6 +107,8 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, path: s
         return sized.select("doc_id", "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("copies")).limit(0)
     weights = sum(r["weight"] for r in held)
     most = min(r["tokens"] * r["cap"] * weights / r["weight"] for r in held)
+    if total is not None and total > most * (1 + 1e-9):
+        raise ValueError(f"the targets can be met within the caps for at most {most:.0f} tokens, not {total:.0f}")
     total = most if total is None else min(total, most)
     plan = {r["source"]: (total * r["weight"] / weights, float(r["cap"])) for r in held}
     # a source that needs all its documents at its cap has no finite multiplier

@@ -426,6 +426,8 @@ def test_mix_meets_weights_and_caps(spark):
         assert r["actual_share"] == pytest.approx(r["target_share"], abs=0.004)
     small = mixing.shares(docs, targets, total=5000).collect()
     assert sum(r["n_tokens"] for r in small) == pytest.approx(5000, rel=0.05)
+    with pytest.raises(ValueError, match="at most"):
+        mixing.mix(docs, targets, total=1e9)
 
 
 def test_newton_solves_the_dual(spark):
