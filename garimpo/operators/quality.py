@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.functions.text import LINE_BREAK, STOPWORDS_PT, STOPWORDS_PT_SHORT, WS, clean_boilerplate, let, lines, runs, strip, whitespace_words, word_tokens
+from garimpo.functions.text import LINE_BREAK, STOPWORDS_PT, STOPWORDS_PT_SHORT, WS, clean_boilerplate, let, lines, strip, whitespace_words, word_tokens
 
 REASONS = ("length", "alpha_density", "line_repetition", "ngram_repetition", "pt_stopwords")
 
@@ -36,10 +36,18 @@ def repeated_line_share(c: Column) -> Column:
 
 
 def repeated_ngram_share(c: Column, n: int = 5) -> Column:
-    """Share of the runs of ``n`` words that repeat an earlier one; 0 with fewer words."""
+    """Share of the runs of ``n`` words that repeat an earlier one; 0 with fewer words. Runs are compared by 64-bit hashes."""
     if n <= 0:
         return F.lit(0.0)
-    return let(word_tokens(c), lambda w: F.when(F.size(w) < n, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(runs(w, n))) / (F.size(w) - n + 1)))
+    return let(word_tokens(c), lambda w: _repeated_runs(w, n))
+
+
+def _repeated_runs(w: Column, n: int) -> Column:
+    def distinct(h: Column) -> Column:
+        # a run's hash is made of the hashes of its words, so that each word is hashed once
+        return F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(n))))))
+
+    return F.when(F.size(w) < n, F.lit(0.0)).otherwise(1 - let(F.transform(w, lambda x: F.xxhash64(x)), distinct) / (F.size(w) - n + 1))
 
 
 def stopword_count(c: Column, words: list[str] | None = None) -> Column:
@@ -47,6 +55,12 @@ def stopword_count(c: Column, words: list[str] | None = None) -> Column:
     return F.size(F.filter(word_tokens(c), lambda w: F.array_contains(known, w)))
 
 
+def has_stopwords(w: Column, words: list[str], least: int) -> Column:
+    """Whether at least ``least`` of the words ``w`` are among ``words``: mostly settled by how many different ones occur."""
+    known = F.array(*(F.lit(v) for v in words))
+    return let(w, lambda x: F.when(F.size(F.array_intersect(x, known)) >= least, True).otherwise(F.size(F.filter(x, lambda v: F.array_contains(known, v))) >= least))
+
+
 def rejection_reason(c: Column, is_pt: Column, min_chars=150, min_words=30, min_alpha=0.7, max_lines=0.3, max_ngrams=0.2, n=5, min_stopwords=3) -> Column:
     """Name of the first test that the (cleaned) text fails, null if it passes all."""
 
@@ -56,7 +70,7 @@ def rejection_reason(c: Column, is_pt: Column, min_chars=150, min_words=30, min_
             .when(F.coalesce(alpha_density(t), F.lit(0.0)) < min_alpha, "alpha_density")
             .when(repeated_line_share(t) > max_lines, "line_repetition")
             .when(repeated_ngram_share(t, n) > max_ngrams, "ngram_repetition")
-            .when(is_pt & (stopword_count(t) < min_stopwords), "pt_stopwords")
+            .when(is_pt & ~has_stopwords(word_tokens(t), STOPWORDS_PT, min_stopwords), "pt_stopwords")
         )
 
     return let(F.coalesce(c, F.lit("")), first_failed)
@@ -76,22 +90,29 @@ def filter_document(df: DataFrame, is_pt: Column, text: str = "text", **limits)
     return with_reason(df, is_pt, text, **limits).filter("reason is null").drop("reason")
 
 
+def keep(df: DataFrame, test: Column) -> DataFrame:
+    """The rows that pass a costly test, which is made where the rows are: a plain filter would be moved below the spreading of
+    a table with few splits, into as few tasks."""
+    return df.withColumn("_passed", F.explode(F.array(test))).filter("_passed").drop("_passed")
+
+
 def legacy_quality(c: Column, is_pt: Column, min_chars: int = 150, max_chars: int = 100_000) -> Column:
     """The older filter: length, flooded characters, repeated lines, words, symbols, and stopwords among the first 100 words."""
-    known = F.array(*(F.lit(v) for v in STOPWORDS_PT_SHORT))
+    def repeats(x: Column) -> Column:
+        return (F.size(x) >= 6) & (F.size(F.array_distinct(x)) / F.size(x) < 0.6)
+
+    def worded(s: Column, w: Column) -> Column:
+        symbols = F.length(F.regexp_replace(s, rf"[\p{{L}}\p{{N}}]|{WS}", ""))
+        plain = F.transform(F.slice(w, 1, 100), lambda v: F.regexp_replace(F.lower(v), r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", ""))
+        return F.when(F.size(w) < 20, False).when(symbols / F.length(s) > 0.35, False).when(is_pt & ~has_stopwords(plain, STOPWORDS_PT_SHORT, 3), False).otherwise(True)
 
     def passes(s: Column) -> Column:
         x = F.filter(F.transform(F.split(s, LINE_BREAK), strip), lambda v: v != "")
-        symbols = F.length(F.regexp_replace(s, rf"[\p{{L}}\p{{N}}]|{WS}", ""))
-        plain = F.transform(F.slice(whitespace_words(s), 1, 100), lambda v: F.regexp_replace(F.lower(v), r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", ""))
         return (
             F.when((F.length(s) < min_chars) | (F.length(s) > max_chars), False)
             .when(s.rlike(r"([^\n])\1{8,}"), False)
-            .when((F.size(x) >= 6) & (F.size(F.array_distinct(x)) / F.size(x) < 0.6), False)
-            .when(F.size(whitespace_words(s)) < 20, False)
-            .when(symbols / F.length(s) > 0.35, False)
-            .when(is_pt & (F.size(F.filter(plain, lambda v: F.array_contains(known, v))) < 3), False)
-            .otherwise(True)
+            .when(let(x, repeats), False)  # lines and words are bound once
+            .otherwise(let(whitespace_words(s), lambda w: worded(s, w)))
         )
 
     return let(strip(F.coalesce(c, F.lit(""))), passes)

@@ -148,7 +148,7 @@ def synthetic_shard(spark, folder):
 def pt_quality_stream(spark, folder):
     """Effective texts that pass the legacy filter for Portuguese."""
     t = text_fallback(F.col("text"), F.col("content"), F.col("raw_content"))
-    return texts(spark, folder, "raw_docs").filter(Q.legacy_quality(t, F.lit(True))).select("seq")
+    return Q.keep(texts(spark, folder, "raw_docs").select("seq", t.alias("text")), Q.legacy_quality(F.col("text"), F.lit(True))).select("seq")
 
 
 @query(f"WITH {sql_legacy('doc_id', 'text', 'false', 'documents')} SELECT doc_id FROM legacy LEFT JOIN embeddings ON vec_id = doc_id WHERE passed AND coalesce(label >= 3, true)")
@@ -156,7 +156,7 @@ def edu_quality_stream(spark, folder):
     """Texts whose score is 3 or more, or missing, that pass the legacy filter; the score is the label of the vector with the document's number."""
     scores = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("score"))
     d = texts(spark, folder, "documents").select("doc_id", "text").join(scores, "doc_id", "left")
-    return d.filter(Q.score_filter(F.col("score"))).filter(Q.legacy_quality(F.col("text"), F.lit(False))).select("doc_id")
+    return Q.keep(d.filter(Q.score_filter(F.col("score"))), Q.legacy_quality(F.col("text"), F.lit(False))).select("doc_id")
 
 
 TURNS = "WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events)"
